@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from epochal.plans.queries import problems
+from epochal.plans.queries import problems, reference
 
-MODULES = [problems]
+MODULES = [problems, reference]
 
 
 def all_queries() -> dict:
