@@ -13,6 +13,8 @@ from epochal.functions.values import KINDS, SPARK_TYPES, EngineError, wrapping
 from epochal.operators import reads, segments
 from epochal.runtime import floor_div
 
+MERGE_BUCKETS = 4096  # at most so many pieces of one segment while segments are merged
+
 
 @dataclass
 class Base:
@@ -183,7 +185,8 @@ def _roll(scope: Scope, node: Rolling, grid: DataFrame, name: str, start: int, e
 
 def range_expr(scope: Scope, e: Expr, start: int, end: int, where: Expr | None = None) -> DataFrame:
     """keys, start, end, value: maximal segments of an expression, filtered before they are merged."""
-    return segments.merged(evaluate(scope, e, start, end, where), scope.keys, max(_width(scope), 1))
+    width = max(_width(scope), (end - start) // MERGE_BUCKETS + 1)
+    return segments.merged(evaluate(scope, e, start, end, where), scope.keys, width)
 
 
 def reduce_expr(scope: Scope, e: Expr, start: int, end: int, functions=reads.AGGREGATES) -> DataFrame:
