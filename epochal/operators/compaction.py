@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochal.operators import segments
-from epochal.operators.segments import elementary, merged
 
 
 def generations(facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,9 +32,9 @@ def compact(facts: DataFrame, keys: list[str], width: int | None = None) -> Data
     occluded boundaries are gone, and layers swallowed by their generation can no longer be asked for.
     """
     held = generations(facts, keys)
-    width = width or segments.bucket_width(facts)
+    width = width or segments.bucket_width(facts, keys)
     by = [*keys, "generation", "written_at"]
-    whole = merged(elementary(held, by, width=width), by, width)
+    whole = segments.newest_wins(held, by, width=width)
     return whole.select(*keys, F.col("generation").alias("layer_id"), "written_at", F.col("start").alias("lo"), F.col("end").alias("hi"), "value")
 
 

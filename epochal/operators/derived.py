@@ -91,7 +91,7 @@ def bounds(scope: Scope, e: Expr) -> list[DataFrame]:
 def _width(scope: Scope) -> int:
     if scope.width is None:
         held = [lens.facts for lens in scope.lenses.values() if isinstance(lens, Base)]
-        scope.width = max((segments.bucket_width(f) for f in held), default=1)
+        scope.width = max((segments.bucket_width(f, scope.keys) for f in held), default=1)
     return scope.width
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epochal.operators import segments
-from epochal.operators.segments import elementary, in_buckets, merged, same
+from epochal.operators.segments import elementary, in_buckets, same
 from epochal.runtime import floor_div
 
 AGGREGATES = ("count", "sum", "avg", "min", "max")
@@ -57,9 +57,10 @@ def at_points(facts: DataFrame, points: DataFrame, keys: list[str], width: int |
 
     Repeated points are answered once. written: name of a column of points with the time to travel to.
     """
-    width = width or segments.bucket_width(facts)
+    width = width or segments.bucket_width(facts, keys)
     asked = points.select(*keys, "t", *([written] if written else [])).distinct().withColumn("_b", floor_div("t", width))
-    held = in_buckets(facts.where("lo < hi"), width)
+    valid = facts.where("lo < hi")
+    held = in_buckets(valid, width) if written else segments.newest_pieces(valid, keys, width)
     on = same(keys, "p", "f") & (F.col("p._b") == F.col("f._b")) & (F.col("f._lo") <= F.col("p.t")) & (F.col("p.t") < F.col("f._hi"))
     if written:
         on = on & (F.col("f.written_at") <= F.col(f"p.{written}"))
@@ -76,8 +77,7 @@ def range_(facts: DataFrame, keys: list[str], start: int, end: int, width: int |
         start = max(start, keep_from)
     if start >= end:
         held = held.where(F.lit(False))
-    width = width or segments.bucket_width(held)
-    return merged(elementary(held, keys, start, end, width), keys, width)
+    return segments.newest_wins(held, keys, start, end, width)
 
 
 def page(found: DataFrame, keys: list[str], limit: int | None, offset: int | None) -> DataFrame:

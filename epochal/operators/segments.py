@@ -14,14 +14,28 @@ from pyspark.sql import functions as F
 
 from epochal.runtime import floor_div
 
-SPREAD = 4  # bucket width in mean durations of a fact: pieces stay linear in the facts
+SPREAD = 4  # widest bucket, in mean durations of a fact
 STITCH = 64  # buckets that are stitched together before the rest of a series is
 
 
-def bucket_width(facts: DataFrame) -> int:
-    """A width at which the facts fall into at most 1/SPREAD + 2 buckets each, on average."""
-    mean = facts.agg(F.avg(F.col("hi").cast("double") - F.col("lo"))).head()[0]
-    return max(1, int(SPREAD * (mean or 1)))
+def bucket_width(facts: DataFrame, keys: list[str] = ()) -> int:
+    """Mean duration over the root of the mean depth (facts that hold at one time in one series).
+
+    A fact then touches about root-of-depth buckets, of which it fills all but two, and a bucket's
+    boundaries meet about root-of-depth unfinished facts: the work grows with the facts times that
+    root, not with the facts times their depth.
+    """
+    stats = facts.where("lo < hi").agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.avg(F.col("hi").cast("double") - F.col("lo")).alias("mean"),
+        (F.max("hi").cast("double") - F.min("lo")).alias("span"),
+        (F.approx_count_distinct(F.struct(*keys)) if keys else F.lit(1)).alias("series"),
+    )
+    r = stats.head()
+    if not r.n:
+        return 1
+    depth = r.n * r.mean / max(1.0, r.span * max(1, r.series))
+    return max(1, int(r.mean * min(SPREAD, depth**-0.5)))
 
 
 def same(keys: list[str], a: str, b: str) -> Column:
@@ -48,30 +62,18 @@ def in_buckets(facts: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _points(facts: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Per bucket the points at which a piece begins or ends; real = a fact begins or ends there."""
-    real = facts.select(*keys, F.explode(F.array("lo", "hi")).alias("p")).select(*keys, floor_div("p", width).alias("_b"), "p", F.lit(True).alias("real"))
-    cuts = in_buckets(facts, width).select(*keys, "_b", F.explode(F.array("_lo", "_hi")).alias("p"), F.lit(False).alias("real"))
-    return real.unionAll(cuts).groupBy(*keys, "_b", "p").agg(F.max("real").alias("real"))
-
+def series(keys: list[str]) -> Column:
+    """One never-null column for all keys: equal structs are equal in joins too, nulls included."""
+    return F.struct(*keys) if keys else F.lit(0)
 
-def pieces(facts: DataFrame, keys: list[str], width: int, values: dict[str, tuple[Column, Column]], extra: DataFrame | None = None) -> DataFrame:
-    """keys, _b, start, end, split and the newest of each of ``values`` (name -> (value, layer or null)).
 
-    extra: more points (keys, p) at which to split. Only covered pieces are returned.
-    """
-    points = _points(facts, keys, width)
-    if extra is not None:
-        more = extra.select(*keys, floor_div("p", width).alias("_b"), "p", F.lit(True).alias("real"))
-        points = points.unionByName(more).groupBy(*keys, "_b", "p").agg(F.max("real").alias("real"))
-    order = Window.partitionBy(*keys, "_b").orderBy("p")
-    grid = points.withColumn("q", F.lead("p").over(order)).where("q is not null")
-    held = in_buckets(facts, width)
-    on = same(keys, "g", "f") & (F.col("g._b") == F.col("f._b")) & (F.col("f._lo") <= F.col("g.p")) & (F.col("g.p") < F.col("f._hi"))
-    covered = grid.alias("g").join(held.alias("f"), on).select(*[F.col(f"g.{c}") for c in [*keys, "_b", "p", "q", "real"]], *[F.col(f"f.{c}") for c in held.columns if c not in (*keys, "_b")])
-    newest = [F.max_by(v, layer).alias(n) for n, (v, layer) in values.items()]
-    present = [F.max(layer.isNotNull()).alias(f"{n}_present") for n, (v, layer) in values.items()] if len(values) > 1 else []
-    return covered.groupBy(*keys, "_b", F.col("p").alias("start"), F.col("q").alias("end"), F.col("real").alias("split")).agg(*newest, *present)
+def newest_pieces(facts: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """keys, _b, _lo, _hi, layer_id, value: pieces by bucket, of those that fill a bucket the newest alone."""
+    cut = in_buckets(facts, width).select(*keys, "_b", "_lo", "_hi", "layer_id", "value")
+    fills = F.col("_hi") - F.col("_lo") == width
+    whole = cut.where(fills).groupBy(*keys, "_b").agg(F.max("layer_id").alias("layer_id"), F.max_by("value", "layer_id").alias("value"))
+    filled = whole.select(*keys, "_b", (F.col("_b") * width).alias("_lo"), ((F.col("_b") + 1) * width).alias("_hi"), "layer_id", "value")
+    return cut.where(~fills).unionAll(filled)
 
 
 def elementary(facts: DataFrame, keys: list[str], start: int | None = None, end: int | None = None, width: int | None = None) -> DataFrame:
@@ -83,38 +85,69 @@ def elementary(facts: DataFrame, keys: list[str], start: int | None = None, end:
     Facts of one layer do not overlap (appends see to it); exact repeats change nothing.
     """
     clipped = clip(facts.select(*keys, "layer_id", "lo", "hi", "value"), start, end)
-    width = width or bucket_width(clipped)
-    return pieces(clipped, keys, width, {"value": (F.col("value"), F.col("layer_id"))})
-
-
-def _stitch(rows: DataFrame, keys: list[str], within: list[Column]) -> DataFrame:
-    """Joins touching segments of equal value inside each group."""
-    group = Window.partitionBy(*keys, *within).orderBy("start")
+    width = width or bucket_width(clipped, keys)
+    found = _elementary(clipped.select(series(keys).alias("_k"), "layer_id", "lo", "hi", "value"), width)
+    return found.select(*[F.col(f"_k.{k}").alias(k) for k in keys], "start", "end", "split", "value", "_b")
+
+
+def _elementary(facts: DataFrame, width: int) -> DataFrame:
+    """_k, _b, start, end, split, value. Points and pieces are each shuffled once, by series and bucket."""
+    def point(bucket: Column, at: Column, real: Column) -> Column:
+        return F.struct(bucket.alias("_b"), at.alias("p"), real.alias("real"))
+
+    b, lo, hi = F.col("_b"), F.col("_lo"), F.col("_hi")
+    own = F.array(point(b, lo, lo == F.col("lo")), point(b, hi, F.lit(False)))
+    last = F.array(point(floor_div("hi", width), F.col("hi"), F.lit(True)))  # on an edge it splits the next bucket, too
+    marks = F.when(hi == F.col("hi"), F.concat(own, last)).otherwise(own)
+    points = in_buckets(facts, width).select("_k", F.explode(marks).alias("x")).select("_k", "x._b", "x.p", "x.real")
+    order = Window.partitionBy("_k", "_b").orderBy("p")
+    grid = points.withColumns({"q": F.lead("p").over(order), "split": F.max("real").over(order.rangeBetween(0, 0))}).where("q > p")
+    held = newest_pieces(facts, ["_k"], width)
+    on = (F.col("g._k") == F.col("f._k")) & (F.col("g._b") == F.col("f._b")) & (F.col("f._lo") <= F.col("g.p")) & (F.col("g.p") < F.col("f._hi"))
+    covered = grid.alias("g").join(held.alias("f"), on).select("g._k", "g._b", F.col("p").alias("start"), F.col("q").alias("end"), "split", "layer_id", "value")
+    return covered.groupBy("_k", "_b", "start", "end", "split").agg(F.max_by("value", "layer_id").alias("value"))
+
+
+def _stitch(rows: DataFrame, within: dict[str, Column]) -> DataFrame:
+    """Joins touching segments of equal value inside each group (_k and the columns of ``within``)."""
+    by = ["_k", *within]
+    group = Window.partitionBy(*by).orderBy("start")
     joins = F.lag("end").over(group).eqNullSafe(F.col("start")) & F.lag("value").over(group).eqNullSafe(F.col("value"))
-    marked = rows.withColumn("_new", F.when(joins, 0).otherwise(1))
+    marked = rows.withColumns(within).withColumn("_new", F.when(joins, 0).otherwise(1))
     named = marked.withColumn("_island", F.sum("_new").over(group.rowsBetween(Window.unboundedPreceding, 0)))
-    tags = [c.alias(f"_w{i}") for i, c in enumerate(within)]
-    return named.groupBy(*keys, *tags, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("value").alias("value")).select(*keys, "start", "end", "value")
+    return named.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("value").alias("value")).select("_k", "start", "end", "value")
+
+
+def _merged(pieces: DataFrame, width: int) -> DataFrame:
+    """_k, start, end, value: maximal segments, from pieces (_k, _b, start, end, value) inside buckets."""
+    inner = _stitch(pieces, {"_b": F.col("_b")})
+    wide = width * STITCH
+
+    def tiers(edge_width: int, group: Column) -> dict[str, Column]:
+        edge = (F.pmod(F.col("start"), F.lit(edge_width)) == 0) | (F.pmod(F.col("end"), F.lit(edge_width)) == 0) | (floor_div("start", edge_width) != floor_div(F.col("end") - 1, edge_width))
+        return {"_edge": F.when(edge, group), "_own": F.when(~edge, F.col("start"))}
+
+    return _stitch(_stitch(inner, tiers(width, floor_div("start", wide))), tiers(wide, F.lit(0).cast("long")))
 
 
 def merged(segments: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Maximal segments of equal value: keys, start, end, value.
 
     Segments are joined inside buckets, then inside groups of buckets; only those that touch the edge
-    of such a group are ever looked at as one series (about one in SPREAD * STITCH facts).
+    of such a group are ever looked at as one series.
     Equality counts null as a value and is exact for every type.
     """
-    cut = in_buckets(segments.select(*keys, F.col("start").alias("lo"), F.col("end").alias("hi"), "value"), width)
-    pieces = cut.select(*keys, F.col("_lo").alias("start"), F.col("_hi").alias("end"), "value")  # no piece crosses an edge
-    inner = _stitch(pieces, keys, [floor_div("start", width)])
-    wide = width * STITCH
+    cut = in_buckets(segments.select(series(keys).alias("_k"), F.col("start").alias("lo"), F.col("end").alias("hi"), "value"), width)
+    pieces = cut.select("_k", "_b", F.col("_lo").alias("start"), F.col("_hi").alias("end"), "value")  # no piece crosses an edge
+    return _merged(pieces, width).select(*[F.col(f"_k.{k}").alias(k) for k in keys], "start", "end", "value")
 
-    def tiers(edge_width: int, group: Column) -> list[Column]:
-        edge = (F.pmod(F.col("start"), F.lit(edge_width)) == 0) | (F.pmod(F.col("end"), F.lit(edge_width)) == 0) | (floor_div("start", edge_width) != floor_div(F.col("end") - 1, edge_width))
-        return [F.when(edge, group), F.when(~edge, F.col("start"))]
 
-    middle = _stitch(inner, keys, tiers(width, floor_div("start", wide)))
-    return _stitch(middle, keys, tiers(wide, F.lit(0)))
+def newest_wins(facts: DataFrame, keys: list[str], start: int | None = None, end: int | None = None, width: int | None = None) -> DataFrame:
+    """Maximal newest-wins segments: keys, start, end, value; the same as merging :func:`elementary`."""
+    clipped = clip(facts.select(*keys, "layer_id", "lo", "hi", "value"), start, end)
+    width = width or bucket_width(clipped, keys)
+    pieces = _elementary(clipped.select(series(keys).alias("_k"), "layer_id", "lo", "hi", "value"), width)
+    return _merged(pieces.select("_k", "_b", "start", "end", "value"), width).select(*[F.col(f"_k.{k}").alias(k) for k in keys], "start", "end", "value")
 
 
 def common_grid(bounds: DataFrame, keys: list[str], start: int, end: int) -> DataFrame:
@@ -133,7 +166,7 @@ def attach(grid: DataFrame, facts: DataFrame, keys: list[str], name: str, width:
     held = clip(facts.select(*keys, "layer_id", "lo", "hi", "value"), lower, None)
     cols = grid.columns
     on = same(keys, "g", "f") & (F.col("g._b") == F.col("f._b")) & (F.col("f._lo") <= F.col("g.start")) & (F.col("g.start") < F.col("f._hi"))
-    joined = grid.withColumn("_b", floor_div("start", width)).alias("g").join(in_buckets(held, width).alias("f"), on, "left")
+    joined = grid.withColumn("_b", floor_div("start", width)).alias("g").join(newest_pieces(held, keys, width).alias("f"), on, "left")
     firsts = [F.first(f"g.{c}").alias(c) for c in cols if c not in (*keys, "start")]
     value = F.struct(F.coalesce(F.max(F.col("f.layer_id").isNotNull()), F.lit(False)).alias("present"), F.max_by("f.value", "f.layer_id").alias("value"))
     return joined.groupBy(*[F.col(f"g.{k}").alias(k) for k in keys], F.col("g.start").alias("start")).agg(*firsts, value.alias(name))

@@ -10,7 +10,7 @@ from epochal.sources.tables import table
 HOUR = 3_600_000_000  # microseconds
 T0 = 1_704_067_200_000_000  # 2024-01-01, where the events begin
 S, E = T0 + 5 * 24 * HOUR, T0 + 20 * 24 * HOUR  # the range of most queries
-WIDTH = 4 * 24 * HOUR  # buckets of interval joins, in line with facts of a day
+WIDTH = 16 * HOUR  # buckets of interval joins: facts of a day, of which two or three overlap
 KEY = ["k"]
 
 

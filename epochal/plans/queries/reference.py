@@ -106,7 +106,7 @@ def range_merged(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql_range(sql_events("evs", "event_type")))
 def range_skewed_keys(spark: SparkSession, d: str) -> DataFrame:
-    return reads.range_(events_as(spark, d, "evs", "event_type"), KEY, S, E, 6 * HOUR)
+    return reads.range_(events_as(spark, d, "evs", "event_type"), KEY, S, E, HOUR)
 
 
 @query(sql_range(sql_events("evn"), S + HOUR, S + 30 * HOUR))
@@ -126,7 +126,7 @@ def range_steps(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql_range(SQL_ORDERS, 9500, 11000))
 def range_orders(spark: SparkSession, d: str) -> DataFrame:
-    return reads.range_(orders_as(spark, d), KEY, 9500, 11000, 360)
+    return reads.range_(orders_as(spark, d), KEY, 9500, 11000, 90)
 
 
 @query(sql_range(f"SELECT * FROM ({sql_events('ev24')}) WHERE written_at <= {W}"))
@@ -238,7 +238,7 @@ def reduce_sum_int_wrap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_reduced(sql_events("ev24", "event_type")))
 def reduce_skewed_keys(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(reads.reduce_(events_as(spark, d, "ev24", "event_type"), KEY, S, E, width=6 * HOUR))
+    return rounded(reads.reduce_(events_as(spark, d, "ev24", "event_type"), KEY, S, E, width=HOUR))
 
 
 @query(_reduced(sql_events("ev24"), CUT, E))
