@@ -16,14 +16,20 @@ def inverted(facts: DataFrame) -> DataFrame:
     return facts.where(bad)
 
 
-def overlapping(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """Facts of one layer (keys) that begin before the one before them ends."""
-    order = Window.partitionBy(*keys, "layer_id").orderBy("lo", "hi")
-    return facts.withColumn("_end", F.lag("hi").over(order)).where(F.col("_end") > F.col("lo")).drop("_end")
+def overlapping(facts: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
+    """Facts that begin before an earlier one of their layer (and keys) ends, as pieces by time bucket.
+
+    Two facts that overlap do so in some bucket, so that a layer of any size is checked in parallel.
+    """
+    valid = facts.where("lo < hi")
+    pieces = in_buckets(valid, width or bucket_width(valid, [*keys, "layer_id"]))
+    order = Window.partitionBy(*keys, "layer_id", "_b").orderBy("_lo", "_hi").rowsBetween(Window.unboundedPreceding, -1)
+    return pieces.withColumn("_end", F.max("_hi").over(order)).where(F.col("_end") > F.col("_lo")).select(facts.columns)
 
 
 def colliding_boxes(facts: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
     """Pairs of boxes of one layer that overlap on every axis, met by time bucket."""
+    facts = facts.where("lo < hi")
     boxes = in_buckets(facts.withColumn("_id", F.monotonically_increasing_id()), width or bucket_width(facts))
     by = [*keys, "layer_id", "_b"]
     apart = F.exists(F.arrays_zip(F.col("a.axes").alias("x"), F.col("b.axes").alias("y")), lambda z: (z["x"]["lo"] >= z["y"]["hi"]) | (z["y"]["lo"] >= z["x"]["hi"]))

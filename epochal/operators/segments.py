@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from epochal.runtime import floor_div
 
 SPREAD = 4  # widest bucket, in mean durations of a fact
+GRID_BUCKETS = 4096  # of the range of an expression
 STITCH = 64  # buckets that are stitched together before the rest of a series is
 
 
@@ -151,11 +152,22 @@ def newest_wins(facts: DataFrame, keys: list[str], start: int | None = None, end
 
 
 def common_grid(bounds: DataFrame, keys: list[str], start: int, end: int) -> DataFrame:
-    """keys, start, end: consecutive segments of [start, end) between all bounds (keys, p), gaps included."""
-    inside = bounds.where((F.col("p") > start) & (F.col("p") < end)).select(*keys, "p")
-    edges = bounds.select(*keys).distinct().select(*keys, F.explode(F.array(F.lit(start).cast("long"), F.lit(end).cast("long"))).alias("p"))
-    order = Window.partitionBy(*keys).orderBy("p")
-    return inside.unionAll(edges).distinct().withColumn("end", F.lead("p").over(order)).where("end is not null").withColumnRenamed("p", "start")
+    """keys, start, end: consecutive segments of [start, end) between all bounds (keys, p), gaps included.
+
+    The range is cut into at most GRID_BUCKETS buckets. A bound's successor is looked up in its bucket,
+    or is the first of the series' next bucket that has any; no task sorts a whole series.
+    """
+    width = max(1, (end - start) // GRID_BUCKETS + 1)
+    held = bounds.select(series(keys).alias("_k"), "p")
+    inside = held.where((F.col("p") > start) & (F.col("p") < end))
+    edges = held.select("_k").distinct().select("_k", F.explode(F.array(F.lit(start).cast("long"), F.lit(end).cast("long"))).alias("p"))
+    box = F.call_function("div", F.col("p") - start, F.lit(width).cast("long")).alias("_b")
+    points = inside.unionAll(edges).select("_k", box, "p").distinct()
+    firsts = points.groupBy("_k", "_b").agg(F.min("p").alias("_first"))  # at most GRID_BUCKETS + 1 rows per series
+    following = firsts.select("_k", "_b", F.lead("_first").over(Window.partitionBy("_k").orderBy("_b")).alias("_next"))
+    order = Window.partitionBy("_k", "_b").orderBy("p")
+    grid = points.withColumn("_q", F.lead("p").over(order)).join(following, ["_k", "_b"]).withColumn("end", F.coalesce("_q", "_next"))
+    return grid.where("end is not null").select(*[F.col(f"_k.{k}").alias(k) for k in keys], F.col("p").alias("start"), "end")
 
 
 def attach(grid: DataFrame, facts: DataFrame, keys: list[str], name: str, width: int, lower: int | None = None) -> DataFrame:
