@@ -18,7 +18,8 @@ from epochal.runtime import estimated_bytes, scratch
 
 STATE = "lens string, lo long, hi long, value double, layer_id long, feed_pos long, deleted boolean"
 ARROW = pa.schema([("lens", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()), ("value", pa.float64()), ("layer_id", pa.int64()), ("feed_pos", pa.int64()), ("deleted", pa.bool_())])
-BUCKET_BYTES = 64 << 20  # input per bucket
+BUCKET_BYTES = 128 << 20  # input per bucket
+FLUSH_SLOTS = 100_000  # slots that an embedded table holds at most, but for one batch
 ENGINE_MEMORY = "512MB"
 
 # Sequences of a slot are never null here; equal layers are decided by the feed position.
@@ -46,22 +47,46 @@ def slot_changes(feed: DataFrame) -> DataFrame:
     )
 
 
-def upsert(batches):
-    """Feeds record batches into an embedded table of slots and yields its final rows."""
+CREATE = "CREATE OR REPLACE TABLE slots (lens VARCHAR, lo BIGINT, hi BIGINT, value DOUBLE, layer_id BIGINT, feed_pos BIGINT, deleted BOOLEAN, PRIMARY KEY (lens, lo))"
+
+
+def upsert(batches, ordered: bool = False):
+    """Feeds record batches into an embedded table of slots and yields its rows.
+
+    The table is exported and begun anew whenever it holds FLUSH_SLOTS. Input ordered by slot is then
+    final but for its last slot, which is carried over; other input is exported in parts, of which a
+    later upsert makes one. The table thus stays small whatever the input.
+    """
     import duckdb
 
     with duckdb.connect(":memory:", config={"threads": 1, "memory_limit": ENGINE_MEMORY}) as db:
-        db.execute("CREATE TABLE slots (lens VARCHAR, lo BIGINT, hi BIGINT, value DOUBLE, layer_id BIGINT, feed_pos BIGINT, deleted BOOLEAN, PRIMARY KEY (lens, lo))")
-        some = False
+        db.execute(CREATE)
+
+        def put(rows: pa.Table) -> None:
+            db.register("incoming", rows)
+            db.execute(UPSERT)
+            db.unregister("incoming")
+
+        def export(where: str = "true", key: tuple = ()) -> pa.Table:
+            return db.sql(f"SELECT * FROM slots WHERE {where}", params=list(key)).to_arrow_table().cast(ARROW)
+
         for batch in batches:
-            if batch.num_rows:
-                some = True
-                db.register("incoming", pa.Table.from_batches([batch.select(ARROW.names)]))
-                db.execute(UPSERT)
-                db.unregister("incoming")
-        if some:
-            for batch in db.execute("SELECT * FROM slots").to_arrow_table().cast(ARROW).to_batches(max_chunksize=65_536):
-                yield batch
+            if not batch.num_rows:
+                continue
+            put(pa.Table.from_batches([batch.select(ARROW.names)]))
+            if db.execute("SELECT count(*) FROM slots").fetchall()[0][0] < FLUSH_SLOTS:
+                continue
+            last = tuple(batch.column(c)[batch.num_rows - 1].as_py() for c in ("lens", "lo"))
+            carried = export("(lens, lo) = (?, ?)", last) if ordered else None
+            yield from (export("(lens, lo) <> (?, ?)", last) if ordered else export()).to_batches(max_chunksize=65_536)
+            db.execute(CREATE)
+            if ordered:
+                put(carried)
+        yield from export().to_batches(max_chunksize=65_536)
+
+
+def upsert_ordered(batches):
+    return upsert(batches, ordered=True)
 
 
 def apply_changes(feed: DataFrame, buckets: int | None = None, state: DataFrame | None = None) -> DataFrame:
@@ -75,7 +100,7 @@ def apply_changes(feed: DataFrame, buckets: int | None = None, state: DataFrame
     n = buckets or max(int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(feed) // BUCKET_BYTES)
     if state is not None:
         held = held.unionAll(state.select(*ARROW.names))
-    return held.repartition(int(n), "lens", "lo").mapInArrow(upsert, STATE)
+    return held.repartition(int(n), "lens", "lo").sortWithinPartitions("lens", "lo").mapInArrow(upsert_ordered, STATE)
 
 
 def live(state: DataFrame) -> DataFrame:

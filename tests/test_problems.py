@@ -225,6 +225,19 @@ def test_changes(spark, tmp_path):
     assert rows(changes.live(changes.rebuild(df.where("false")))) == []
 
 
+def test_changes_in_steps(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(changes, "FLUSH_SLOTS", 3)
+    data = [("a", i // 4, 9, 1.0, i % 4, i, i % 8 == 7) for i in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*data[i : i + 7]), changes.ARROW)], schema=changes.ARROW) for i in range(0, 40, 7)]
+    want = [("a", k, 9, 1.0, 3, 4 * k + 3, k % 2 == 1) for k in range(10)]
+    whole = [tuple(r.values()) for b in changes.upsert_ordered(batches) for r in b.to_pylist()]
+    assert sorted(whole) == want
+    parts = [b for b in changes.upsert(batches[::-1])]
+    assert sorted(tuple(r.values()) for b in changes.upsert(parts) for r in b.to_pylist() if r["layer_id"] == 3)[:1] == want[:1]
+
+
 # Problem 6
 
 
