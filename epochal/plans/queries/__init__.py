@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from epochal.plans.queries import problems, reference
+from epochal.plans.queries import ingest, problems, reference
 
-MODULES = [problems, reference]
+MODULES = [problems, reference, ingest]
 
 
 def all_queries() -> dict:
