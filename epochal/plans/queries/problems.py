@@ -120,7 +120,7 @@ SQL = {
     SELECT lens, device, t FROM cells ANTI JOIN covered USING (lens, device, t)""",
     "p5_found": f"{_STATE} SELECT lens, lo, layer_id FROM best WHERE NOT deleted",
     "p5_state": f"{_STATE} SELECT lens, lo, hi, value, layer_id FROM best WHERE NOT deleted",
-    "p6_found": """WITH v AS (SELECT lens, epoch, lo, hi FROM run_entries WHERE lo < hi),
+    "p6_found": """WITH v AS (SELECT DISTINCT lens, epoch, lo, hi FROM run_entries WHERE lo < hi),
     reach AS (SELECT *, max(hi) OVER (PARTITION BY lens, epoch ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v),
     flagged AS (SELECT *, sum(CASE WHEN before IS NULL OR lo > before THEN 1 ELSE 0 END) OVER (PARTITION BY lens, epoch ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM reach),
     periods AS (SELECT lens, epoch, min(lo) AS lo, max(hi) AS hi FROM flagged GROUP BY lens, epoch, island)
