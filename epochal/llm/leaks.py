@@ -32,6 +32,8 @@ class Rules:
     weight: the same share with each word weighted by its rarity among the passages, so that wording
     which many passages have in common is no evidence; strict: what it must be where fewer than
     two runs' length of the passage is spanned.
+    altered: words altered at most in a shorter piece below ``strict``; it must be ``ahead`` in score (about one
+    rare word) of every passage of other wording on its words. An unaltered run of the rule's length needs neither.
     better: across shards of items, a fit below ``strict`` yields to another on the same words whose score
     is so many times higher.
     seed: words of an exact run that nominates an item.
@@ -43,6 +45,8 @@ class Rules:
     matched: float = 0.65
     weight: float = 0.65
     strict: float = 0.92
+    altered: int = 2
+    ahead: float = 1.0
     better: float = 1.3
     seed: int = 3
     shared_blocks: int = 10
@@ -175,6 +179,34 @@ def align(passage: list[int], rarity: list[float], ids: list[int]) -> tuple[floa
     return best
 
 
+def piece(passage: list[int], ids: list[int], run: int, altered: int) -> tuple[int, int, int, int] | None:
+    """(first, last, unaltered words, place in the passage) of a piece of a passage in a stretch of text, word by word.
+
+    It has at least ``run`` words, the first and last unaltered; of the least altered pieces the longest, or None if
+    all have more than ``altered`` altered words.
+    """
+    import numpy as np
+
+    same = np.equal.outer(np.array(ids), np.array(passage))
+    least = altered + 1
+    best = None
+    for d in range(run - len(ids), len(passage) - run + 1):
+        at = np.flatnonzero(np.diagonal(same, d))
+        if len(at) < run - altered:
+            continue
+        missed = at - np.arange(len(at))
+        for k in range(min(least, altered) + 1):
+            to = np.searchsorted(missed, missed + k, "right") - 1
+            size = at[to] - at + 1
+            a = int(size.argmax())
+            if size[a] >= run:
+                if k < least or size[a] > best[1] - best[0] + 1:
+                    first = int(at[a]) + max(0, -d)
+                    least, best = k, (first, first + int(size[a]) - 1, int(to[a]) - a + 1, first + d)
+                break
+    return best
+
+
 @dataclass(frozen=True)
 class Leak:
     """A passage (by number) in words first to last of a text; how much of it, and how well."""
@@ -193,9 +225,24 @@ def leaks_in(index: Index, ids: list[int], rules: Rules) -> list[Leak]:
 
     Where another passage explains the same words better, one that fits them only in part through
     wording common to both does not count; passages that share the words are equal and all count.
+    A run of the rule's length without altered words counts whatever lies beside it.
     """
-    out = []
-    for number, runs in nominate(index, ids, rules).items():
+    out, short = [], []
+    nominated = nominate(index, ids, rules)
+
+    def pieced(number: int, a: int, b: int, altered: int) -> tuple[Leak, list[int]] | None:
+        """A short piece in words a to b (excluded), and its words in the passage."""
+        passage = index.passages[number]
+        if (found := piece(passage, ids[a:b], rules.run, altered)) is None:
+            return None
+        first, last, hits, place = found
+        own = passage[place : place + last - first + 1]
+        here = ids[a + first : a + last + 1]
+        weight = [index.rarity[x] for x in own]
+        share = sum(w for w, x, y in zip(weight, own, here) if x == y) / sum(weight)
+        return Leak(number, a + first, a + last, len(own), hits, align(passage, index.rarity, here)[0], share), own
+
+    for number, runs in nominated.items():
         passage, margin = index.passages[number], rules.run
         stretches: list[list[int]] = []
         for first, last in runs:
@@ -209,6 +256,11 @@ def leaks_in(index: Index, ids: list[int], rules: Rules) -> list[Leak]:
             needed = rules.strict if spanned < 2 * rules.run else rules.weight
             if spanned >= rules.run and hits >= rules.matched * spanned and share >= needed:
                 out.append(Leak(number, a + first, a + last, spanned, hits, score, share))
+            elif (x := pieced(number, a, b, rules.altered)) is not None:
+                if x[0].unaltered == x[0].spanned:
+                    out.append(x[0])
+                else:
+                    short.append(x)
 
     def outdone(x: Leak) -> bool:
         if x.unaltered == x.spanned == x.last - x.first + 1:
@@ -217,7 +269,22 @@ def leaks_in(index: Index, ids: list[int], rules: Rules) -> list[Leak]:
         rivals = {y.passage for y in out if y.score > x.score and 2 * (min(x.last, y.last) - max(x.first, y.first)) >= x.last - x.first}
         return any(align(index.passages[r], index.rarity, here)[0] > 1.001 * x.score for r in rivals)
 
-    return [x for x in out if not outdone(x)]
+    def explained(x: Leak, own: list[int]) -> bool:
+        here, n = ids[x.first : x.last + 1], len(own)
+        for number in nominated:
+            passage = index.passages[number]
+            if number != x.passage and not any(passage[k : k + n] == own for k in range(len(passage) - n + 1)):
+                if align(passage, index.rarity, here)[0] > x.score - rules.ahead:
+                    return True
+        return False
+
+    kept = []
+    for x in out:
+        if not outdone(x):
+            kept.append(x)
+        elif (exact := pieced(x.passage, x.first, x.last + 1, 0)) is not None:
+            kept.append(exact[0])
+    return kept + [x for x, own in short if not explained(x, own)]
 
 
 def _look_up(index: Index, text_words: list[str]) -> list[int]:

@@ -54,6 +54,22 @@ def test_forms(spark):
     assert found(spark, "Bought it. " + PASSAGE.upper() + " Nice.", marked, altered, " ".join(w[:12]), " ".join(w[3:9]), ASK + " Question: who?", None, "", "x " * 50_000 + PASSAGE) == [(i, k) for i in (0, 1, 2, 3, 8) for k in (1, 2)]
 
 
+def test_short_altered_pieces(spark):
+    w = PASSAGE.split()
+    one, two = w[4:16], w[4:22]
+    one[6] = two[5] = two[11] = "altered"
+    beside = [*w[:12], "not", "one", "word", *w[15:18], "other", "others", *w[20:22]]  # an unaltered run beside altered words
+    assert found(spark, *(" ".join(["pears", *x, "plums"]) for x in (one, two, beside, w[4:9] + ["altered"] + w[10:14]))) == [(i, k) for i in (0, 1, 2) for k in (1, 2)]
+
+
+def test_short_altered_pieces_of_common_wording():
+    start = [f"w{k}" for k in range(14)]
+    held = [(i, f"{ASK}\n\n" + " ".join([*start[:6], f"name{i}", *start[7:], *(f"own{i}x{k}" for k in range(10))])) for i in range(12)]
+    (index,) = leaks.build_indexes(held, leaks.Rules())
+    got = [leaks.leaks_in(index, leaks._look_up(index, [*start[:6], x, *start[7:]]), leaks.Rules()) for x in ("unknown", "name3")]
+    assert got[0] == [] and [index.items[x.passage] for x in got[1]] == [3]
+
+
 def test_several_items_and_repeats(spark):
     assert found(spark, PASSAGE + " and " + OTHER, OTHER, OTHER) == [(0, 1), (0, 2), (0, 3), (1, 3), (2, 3)]
 
