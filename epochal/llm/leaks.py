@@ -10,6 +10,8 @@ needs only the automaton, whose size is bounded by sharding the items.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -124,7 +126,7 @@ def nominate(index: Index, ids: list[int], rules: Rules) -> dict[int, list[tuple
     return {p: r for p, r in found.items() if _worth(r, rules)}
 
 
-def _worth(runs: list[tuple[int, int]], rules: Rules) -> bool:
+def _worth(runs: Iterable[tuple[int, int]], rules: Rules) -> bool:
     """Whether runs that lie close together could belong to a leak."""
     total, edge = 0, None
     for first, last in runs:
@@ -137,11 +139,11 @@ def _worth(runs: list[tuple[int, int]], rules: Rules) -> bool:
     return False
 
 
-def align(passage: list[int], rarity: list[float], ids: list[int]) -> tuple[float, int, int, int, int, float]:
+def align(passage: list[int], rarity: list[float], ids: list[int], reach: int | None = None) -> tuple[float, int, int, int, int, float]:
     """Best local alignment of a passage with a stretch of text.
 
     (score, first, last, words of the passage spanned, unaltered ones, weighted share of those).
-    first and last are positions in the stretch.
+    first and last are positions in the stretch. With ``reach``, what lies so many words after the best is not read.
     """
     import numpy as np
 
@@ -156,6 +158,8 @@ def align(passage: list[int], rarity: list[float], ids: list[int]) -> tuple[floa
     total = np.concatenate(([0.0], np.cumsum(w)))
     at = np.arange(n + 1)
     for i, x in enumerate(ids):
+        if reach is not None and best[0] and i > best[2] + reach:
+            break
         same = p == x
         diag = np.concatenate(([0.0], score[:-1] + np.where(same, gain, -loss)))
         up = score - 0.5  # a word put in
@@ -250,17 +254,29 @@ def leaks_in(index: Index, ids: list[int], rules: Rules) -> list[Leak]:
                 stretches[-1][1] = max(stretches[-1][1], last + margin)
             else:
                 stretches.append([first - margin, last + margin])
-        for a, b in stretches:
-            a, b = max(0, a), min(len(ids), b + 1)
-            score, first, last, spanned, hits, share = align(passage, index.rarity, ids[a:b])
+        lasts = [last for _, last in runs]
+        reach = len(passage) + margin
+        left = [(max(0, a), min(len(ids), b + 1)) for a, b in stretches]
+        while left:  # what no fit has taken yet
+            a, b = left.pop()
+            own = range(bisect_left(lasts, a), bisect_left(lasts, b + margin))
+            if not _worth(((max(a, runs[k][0]), min(b - 1, runs[k][1])) for k in own if runs[k][0] < b), rules):
+                continue
+            a = max(a, runs[own[0]][0] - margin)
+            score, first, last, spanned, hits, share = align(passage, index.rarity, ids[a:b], reach)
+            if not score:
+                continue
             needed = rules.strict if spanned < 2 * rules.run else rules.weight
+            end, first, last = min(b, a + last + 1 + reach), a + first, a + last
             if spanned >= rules.run and hits >= rules.matched * spanned and share >= needed:
-                out.append(Leak(number, a + first, a + last, spanned, hits, score, share))
-            elif (x := pieced(number, a, b, rules.altered)) is not None:
+                out.append(Leak(number, first, last, spanned, hits, score, share))
+            elif (x := pieced(number, a, end, rules.altered)) is not None:
+                first, last = x[0].first, x[0].last
                 if x[0].unaltered == x[0].spanned:
                     out.append(x[0])
                 else:
                     short.append(x)
+            left += [(last + 1, b), (a, first)]
 
     def outdone(x: Leak) -> bool:
         if x.unaltered == x.spanned == x.last - x.first + 1:

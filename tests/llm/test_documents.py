@@ -91,6 +91,22 @@ def test_removal(spark):
     assert got[1][1].startswith(filler) and got[1][1].endswith("tail") and "Fenlum" not in got[1][1] and got[1][3] > 100
 
 
+def test_removal_of_every_copy(spark):
+    filler = " ".join(f"filler{i}" for i in range(300))
+    w = PASSAGE.split()
+    reordered = " ".join([*w[14:], "plums", *w[:14]])
+    docs = spark.createDataFrame([(1, f"{filler} {PASSAGE} {PASSAGE}", "a"), (2, f"{filler} {reordered} tail", "b"), (3, f"{filler} {PASSAGE} {PASSAGE.replace('spools', 'rolls')} {PASSAGE} tail", "c")], DOC)
+    got = {r[0]: r[1] for r in rows(leaks.remove_leaks(docs, items(spark)))}
+    assert {k: words(v)[300:] for k, v in got.items()} == {1: [], 2: ["plums", "tail"], 3: ["tail"]}
+
+
+def test_many_copies():
+    (index,) = leaks.build_indexes([(1, f"{ASK}\n\n{PASSAGE}"), (2, f"{ASK}\n\n{OTHER}")], leaks.Rules())
+    got = leaks.leaks_in(index, leaks._look_up(index, words((PASSAGE + " ") * 200)), leaks.Rules())
+    n = len(words(PASSAGE))
+    assert sorted((x.first, x.last) for x in got) == [(k * n, k * n + n - 1) for k in range(200)]
+
+
 def test_nothing_to_leak(spark):
     docs = spark.createDataFrame([(1, PASSAGE, "")], DOC)
     assert rows(leaks.leaked_pairs(docs, items(spark).where("false"))) == []
