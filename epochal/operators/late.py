@@ -8,10 +8,9 @@ associative, commutative and idempotent, so retries and reordering change nothin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epochal.operators.once import once
 from epochal.runtime import DAY, floor_div
 
 SOURCE = ["db", "layer_id"]
@@ -32,12 +31,13 @@ def slots(deliveries: DataFrame, period: int = DAY, lateness: int = LATENESS) ->
     An event belongs to the period of its start. On time: written before the period's
     end; late: within ``lateness`` periods after it; later ones are counted as too late
     and left out of the total; those without a stamp are undated and only in the total.
-    Null or empty event lists and events without a start give no slot. A null value is
-    counted, and adds nothing. Series names are trimmed and in lower case.
+    Null or empty event lists and events without a start give a slot without a day: it holds
+    the delivery's version against later copies and is in no total. A null value is
+    counted, and adds nothing. Series names are trimmed and in lower case. A delivery given twice
+    gives its slots twice, not their sum.
     """
-    events = deliveries.select(
-        "db", F.lower(F.trim("lens")).alias("lens"), "layer_id", *VERSION, stamp_ms(F.col("written_at")).alias("w"), F.explode("taus").alias("e")
-    ).where("e.lo is not null")
+    each = deliveries.withColumn("copy", F.monotonically_increasing_id())
+    events = each.select("db", F.lower(F.trim("lens")).alias("lens"), "layer_id", *VERSION, "copy", stamp_ms(F.col("written_at")).alias("w"), F.explode_outer("taus").alias("e"))
     day = floor_div(F.col("e.lo"), period)
     end = (day + 1) * (period * 1000)
     late = (F.col("w") >= end) & (F.col("w") < end + lateness * period * 1000)
@@ -46,15 +46,16 @@ def slots(deliveries: DataFrame, period: int = DAY, lateness: int = LATENESS) ->
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     return (
         events.withColumn("day", day)
-        .groupBy("db", "lens", "day", "layer_id", *VERSION)
+        .groupBy("db", "lens", "day", "layer_id", *VERSION, "copy")
         .agg(
             count(F.col("w") < end).alias("on_time"),
             count(late).alias("late"),
             count(too_late).alias("too_late"),
-            count(F.col("w").isNull()).alias("undated"),
+            count(F.col("w").isNull() & F.col("e.lo").isNotNull()).alias("undated"),
             F.sum(F.when(too_late, 0.0).otherwise(value)).alias("total"),
             F.sum(F.when(F.col("w") < end, value).otherwise(0.0)).alias("total_on_time"),
         )
+        .drop("copy")
     )
 
 
@@ -70,23 +71,21 @@ def merge(held: DataFrame) -> DataFrame:
     A source with a null in its key is unknown and kept as it is.
     """
     version = F.struct(*[c for v in VERSION for c in (F.col(v).isNull().alias(f"{v}_null"), F.col(v).alias(v))])
-    best = held.where("db is not null and layer_id is not null").groupBy(*SOURCE).agg(F.min(version).alias("best"))
-    joined = held.join(best, SOURCE, "left").where(F.col("best").isNull() | (F.col("best") == version)).drop("best")
+    unknown = F.col("db").isNull() | F.col("layer_id").isNull()
+    ranked = held.withColumn("best", F.min(version).over(Window.partitionBy(*SOURCE))).where(unknown | (F.col("best") == version))
     keys = ["db", "lens", "day", "layer_id", *VERSION]
-    return joined.groupBy(*keys).agg(*[F.max(c).alias(c) for c in COUNTS + TOTALS])
+    return ranked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in COUNTS + TOTALS])
 
 
 def totals(merged: DataFrame) -> DataFrame:
     """Per series and period, the sums over all sources."""
-    return merged.groupBy("db", "lens", "day").agg(*[F.sum(c).alias(c) for c in COUNTS + TOTALS])
+    return merged.where("day is not null").groupBy("db", "lens", "day").agg(*[F.sum(c).alias(c) for c in COUNTS + TOTALS])
 
 
 def corrected_daily(deliveries: DataFrame, period: int = DAY, lateness: int = LATENESS) -> DataFrame:
     """Per-day aggregates over a whole log of deliveries, corrected as late events arrive.
 
-    The same counters as :func:`merge` and :func:`totals`. As the log is in files, each
-    source's ranking version is selected on the narrow key columns (see :mod:`once`) and
-    the others' slots are never built.
+    The slots of all deliveries, repeated ones included, go through :func:`merge` and :func:`totals`.
     """
     narrow = deliveries.select("db", "lens", "layer_id", *VERSION, "written_at", "taus")
-    return totals(slots(once(narrow, SOURCE, VERSION), period, lateness))
+    return totals(merge(slots(narrow, period, lateness)))

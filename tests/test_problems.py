@@ -89,6 +89,28 @@ def test_late_counters(stored, spark, tmp_path):
     assert rows(log.totals(), *cols) == want
 
 
+def test_late_slots_are_merged(spark, monkeypatch):
+    day = 16_440
+    b, end = day * DAY, (day + 1) * DAY * 1000
+    first = delivery(1, 1, "d", 1, "a", end, [(b + 10, b + 20, 2.0), (b + 20, b + 30, 1.0)])
+    again = delivery(2, 1, "d", 1, "a", end, [(b + 10, b + 20, 99.0), (b + DAY, b + DAY + 1, 7.0)])
+    merged = []
+    own = late.merge
+    monkeypatch.setattr(late, "merge", lambda held: merged.append(held) or own(held))
+    got = late.corrected_daily(spark.createDataFrame([again, first, first], WAL))
+    assert rows(got) == [("d", "a", day, 0, 2, 0, 0, 3.0, 0.0)]
+    assert [held.count() for held in merged] == [4]  # slots of every delivery, copies included
+
+
+@pytest.mark.parametrize("nothing", [None, [], [(None, 3, 1.0)]])
+def test_late_copy_of_an_empty_delivery(spark, tmp_path, nothing):
+    held = spark.createDataFrame([(1, 1, "d", 1, "a", None, nothing, None), delivery(2, 2, "d", 1, "a", None, [(5, 6, 9.0)])], WAL)
+    assert rows(late.corrected_daily(held)) == []
+    log = CounterLog(spark, str(tmp_path / "log"))
+    log.put(held, 1)
+    assert rows(log.totals()) == []
+
+
 # Problem 3
 
 
