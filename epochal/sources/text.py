@@ -27,8 +27,14 @@ def read_facts(spark: SparkSession, path: str, kind: str) -> DataFrame:
     A line is cut at its first two commas, so that a value may hold commas. Cells are literals of the
     lens' type, or null; a literal of another type is a problem, too.
     """
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("line")).where("line <> '' and not startswith(line, '#')")
-    parts = lines.withColumn("p", F.split("line", ",", 3)).select("line", *[F.trim(F.get(F.col("p"), F.lit(i))).alias(n) for i, n in enumerate(("s", "e", "cell"))])
+    return _parsed(spark.read.text(path), kind)
+
+
+def _parsed(texts: DataFrame, kind: str) -> DataFrame:
+    """The facts of lines (column value); other columns are kept behind them."""
+    more = [c for c in texts.columns if c != "value"]
+    lines = texts.select(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("line"), *more).where("line <> '' and not startswith(line, '#')")
+    parts = lines.withColumn("p", F.split("line", ",", 3)).select("line", *more, *[F.trim(F.get(F.col("p"), F.lit(i))).alias(n) for i, n in enumerate(("s", "e", "cell"))])
     lo, hi = F.expr("try_cast(s as bigint)"), F.expr("try_cast(e as bigint)")
     null = F.col("cell") == "null"
     value = F.when(null, None).otherwise(_typed(F.col("cell"), kind))
@@ -43,21 +49,20 @@ def read_facts(spark: SparkSession, path: str, kind: str) -> DataFrame:
         .when(~literal & known, F.lit("type mismatch"))
         .when(~literal, F.concat(F.lit('cannot parse value "'), "cell", F.lit('"')))
     )
-    return parts.select("line", lo.alias("lo"), hi.alias("hi"), value.alias("value"), problem.alias("problem"))
+    return parts.select("line", lo.alias("lo"), hi.alias("hi"), value.alias("value"), problem.alias("problem"), *more)
 
 
-def first_problem(spark: SparkSession, path: str, facts: DataFrame) -> EngineError | None:
+def first_problem(spark: SparkSession, path: str, facts: DataFrame, kind: str) -> EngineError | None:
     """The error of the first bad line, with its number from 1; None if all are good."""
     bad = facts.where("problem is not null").limit(1).collect()
     if not bad:
         return None
-    # only on failure: numbers the lines of the file to name the first bad one
-    texts = {r.line: r.problem for r in facts.where("problem is not null").select("line", "problem").distinct().limit(1000).collect()}
-    numbered = spark.read.text(path).rdd.zipWithIndex().filter(lambda x: x[0].value.strip() in texts)
-    line, at = numbered.map(lambda x: (x[0].value.strip(), x[1])).min(key=lambda x: x[1])
-    if texts[line] == "type mismatch":
+    # only on failure: numbers the lines of the file and takes the least of all bad ones
+    numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[0].value, x[1])).toDF("value string, at long")
+    at, problem = _parsed(numbered, kind).where("problem is not null").agg(F.min(F.struct("at", "problem")).alias("x")).head().x
+    if problem == "type mismatch":
         return EngineError(f"type mismatch in line {at + 1}")
-    return EngineError(f"storage error: line {at + 1}: {texts[line]}")
+    return EngineError(f"storage error: line {at + 1}: {problem}")
 
 
 def chunked(facts: DataFrame, first_layer: int, chunk: int = 256) -> tuple[DataFrame, int]:
