@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochal.operators.segments import bucket_width, in_buckets, same
+from epochal.operators import boxes
+from epochal.operators.segments import crowded
 
 
 def inverted(facts: DataFrame) -> DataFrame:
@@ -16,22 +17,11 @@ def inverted(facts: DataFrame) -> DataFrame:
     return facts.where(bad)
 
 
-def overlapping(facts: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
-    """Facts that begin before an earlier one of their layer (and keys) ends, as pieces by time bucket.
+def overlapping(facts: DataFrame, keys: list[str], piece: int | None = None) -> DataFrame:
+    """keys, layer_id, start, end: time that more than one fact of a layer covers. A layer of any size is checked in parallel."""
+    return crowded(facts, [*keys, "layer_id"], piece)
 
-    Two facts that overlap do so in some bucket, so that a layer of any size is checked in parallel.
-    """
-    valid = facts.where("lo < hi")
-    pieces = in_buckets(valid, width or bucket_width(valid, [*keys, "layer_id"]))
-    order = Window.partitionBy(*keys, "layer_id", "_b").orderBy("_lo", "_hi").rowsBetween(Window.unboundedPreceding, -1)
-    return pieces.withColumn("_end", F.max("_hi").over(order)).where(F.col("_end") > F.col("_lo")).select(facts.columns)
 
-
-def colliding_boxes(facts: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
-    """Pairs of boxes of one layer that overlap on every axis, met by time bucket."""
-    facts = facts.where("lo < hi")
-    boxes = in_buckets(facts.withColumn("_id", F.monotonically_increasing_id()), width or bucket_width(facts))
-    by = [*keys, "layer_id", "_b"]
-    apart = F.exists(F.arrays_zip(F.col("a.axes").alias("x"), F.col("b.axes").alias("y")), lambda z: (z["x"]["lo"] >= z["y"]["hi"]) | (z["y"]["lo"] >= z["x"]["hi"]))
-    on = same(by, "a", "b") & (F.col("a._id") < F.col("b._id")) & (F.col("a.lo") < F.col("b.hi")) & (F.col("b.lo") < F.col("a.hi")) & ~apart
-    return boxes.alias("a").join(boxes.alias("b"), on).select(*[F.col(f"a.{k}").alias(k) for k in [*keys, "layer_id"]], F.col("a.lo").alias("lo"), F.col("b.lo").alias("other_lo")).distinct()
+def colliding_boxes(facts: DataFrame, keys: list[str], piece: int | None = None) -> DataFrame:
+    """keys, layer_id, lo, other_lo: boxes of one layer that overlap on every axis; see :func:`boxes.colliding`."""
+    return boxes.colliding(facts, keys, piece)

@@ -6,7 +6,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epochal.operators import segments
+from epochal.operators import boxes, segments
+from epochal.operators.sweep import groups, in_chunks
+from epochal.runtime import broadcast_if_small
+
+BLOCK = 1 << 16  # layer numbers that are looked at together
 
 
 def generations(facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -14,92 +18,68 @@ def generations(facts: DataFrame, keys: list[str]) -> DataFrame:
 
     Time travel sees a generation whole or not at all, so only its layers may be merged; equal stamps
     that are not contiguous in layer order are different generations.
+
+    Only the table of layers is looked at, in blocks of BLOCK layer numbers: runs are found inside a block,
+    and the first and last run of each block are joined with those of its neighbours.
     """
     layers = facts.select(*keys, "layer_id", "written_at").distinct()
-    order = Window.partitionBy(*keys).orderBy("layer_id")
-    new = F.when(F.lag("written_at").over(order).eqNullSafe(F.col("written_at")) & F.lag(F.lit(1)).over(order).isNotNull(), 0).otherwise(1)
-    runs = layers.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    top = F.max("layer_id").over(Window.partitionBy(*keys, "_run"))
-    named = runs.select(*keys, F.col("layer_id").alias("_layer"), top.alias("generation"))
+    block = F.call_function("div", F.col("layer_id"), F.lit(BLOCK).cast("long"))
+    inner = Window.partitionBy(*keys, "_block").orderBy("layer_id", "written_at")
+    other = F.lag(F.lit(1)).over(inner).isNull() | ~F.lag("written_at").over(inner).eqNullSafe(F.col("written_at"))
+    numbered = layers.withColumn("_block", block).withColumn("_new", F.when(other, 1).otherwise(0)).withColumn("_run", F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy(*keys, "_block", "_run", "written_at").agg(F.max("layer_id").alias("_top"), F.collect_list("layer_id").alias("_layers"))  # at most BLOCK
+    by_block = Window.partitionBy(*keys, "_block")
+    marked = runs.withColumn("_last", F.max("_run").over(by_block)).withColumn("_rim", (F.col("_run") == 1) | (F.col("_run") == F.col("_last")))
+    # at most two runs of a block are at its rim; all others are generations of their own
+    rim = Window.partitionBy(*keys, "_own").orderBy("_block", "_run")
+    follows = F.lag("written_at").over(rim).eqNullSafe(F.col("written_at")) & (F.lag("_block").over(rim) < F.col("_block"))
+    joined = marked.withColumn("_own", F.when(~F.col("_rim"), F.col("_top"))).withColumn("_fresh", F.when(follows & (F.col("_run") == 1), 0).otherwise(1))
+    named = joined.withColumn("_island", F.sum("_fresh").over(rim.rowsBetween(Window.unboundedPreceding, 0)))
+    top = F.max("_top").over(Window.partitionBy(*keys, "_own", "_island"))
+    small = named.withColumn("generation", top).select(*keys, F.explode("_layers").alias("_layer"), "generation").distinct()
     on = segments.same(keys, "f", "n") & (F.col("f.layer_id") == F.col("n._layer"))
-    return facts.alias("f").join(named.alias("n"), on).select("f.*", "n.generation")
+    return facts.alias("f").join(broadcast_if_small(small).alias("n"), on).select("f.*", "n.generation")
 
 
-def compact(facts: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
+def compact(facts: DataFrame, keys: list[str], piece: int | None = None) -> DataFrame:
     """keys, layer_id, written_at, lo, hi, value with one layer per generation.
 
     Points, ranges and time travel read the same as before. Counts and sums over segments may differ:
     occluded boundaries are gone, and layers swallowed by their generation can no longer be asked for.
     """
     held = generations(facts, keys)
-    width = width or segments.bucket_width(facts, keys)
     by = [*keys, "generation", "written_at"]
-    whole = segments.newest_wins(held, by, width=width)
+    whole = segments.newest_wins(held, by, piece=piece)
     return whole.select(*keys, F.col("generation").alias("layer_id"), "written_at", F.col("start").alias("lo"), F.col("end").alias("hi"), "value")
 
 
-def _cut(box, by):
-    """What is left of a box (list of (lo, hi) per axis) when another is taken out of it, in slabs."""
-    if any(a[0] >= b[1] or b[0] >= a[1] for a, b in zip(box, by)):
-        return [box]
-    left, rest = [], list(box)
-    for i, ((lo, hi), (cut_lo, cut_hi)) in enumerate(zip(box, by)):
-        if lo < cut_lo:
-            left.append([*rest[:i], (lo, cut_lo), *rest[i + 1 :]])
-        if cut_hi < hi:
-            left.append([*rest[:i], (cut_hi, hi), *rest[i + 1 :]])
-        rest[i] = (max(lo, cut_lo), min(hi, cut_hi))
-    return left
-
-
-def _glue(cells):
-    """Boxes of equal value that share a whole face are joined, until none do. cells: (box, value)."""
-    axes = len(cells[0][0]) if cells else 0
-    changed = True
-    while changed:
-        changed = False
-        for axis in range(axes):
-            rows: dict = {}
-            for box, value in cells:
-                rows.setdefault((tuple(box[:axis]), tuple(box[axis + 1 :]), type(value), value), []).append(box[axis])
-            out = []
-            for (before, after, _, value), spans in rows.items():
-                spans.sort()
-                held = [list(spans[0])]
-                for lo, hi in spans[1:]:
-                    if lo == held[-1][1]:
-                        held[-1][1] = hi
-                        changed = True
-                    else:
-                        held.append([lo, hi])
-                out += [([*before, tuple(s), *after], value) for s in held]
-            cells = out
-    return cells
-
-
-def compact_boxes(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """The same for facts with further axes (``axes``): newer boxes are cut out of older ones, equal neighbours glued.
-
-    One task holds one generation of one series, which the compaction threshold bounds to a few appends.
+def compact_boxes(facts: DataFrame, keys: list[str], piece: int | None = None) -> DataFrame:
+    """The same for facts with further axes (``axes``): disjoint boxes, each with the newest layer's value.
+
+    A generation of more than ``piece`` boxes is cut in time, and so are the boxes at these cuts. In a
+    piece, time is swept once; what holds at a time is laid out along the other axes.
     """
-    held = generations(facts, keys)
+    by = [*keys, "generation", "written_at"]
+    held = generations(facts, keys).where("lo < hi")
+    cols = [*by, "layer_id", "lo", "hi", "axes", "value"]
     schema = held.select(*keys, F.col("generation").alias("layer_id"), "written_at", "lo", "hi", "axes", "value").schema
+    placed, edges = boxes.in_time(held.select(*cols), by, piece)
 
-    def run(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: -r["layer_id"])
-        done: list = []
-        for r in rows:
-            own = [[(r["lo"], r["hi"]), *((a["lo"], a["hi"]) for a in r["axes"])]]
-            for other, layer, _ in done:
-                if layer > r["layer_id"]:
-                    own = [p for b in own for p in _cut(b, other)]
-            done += [(b, r["layer_id"], r["value"]) for b in own]
-        first, out = rows[0], []
-        for box, value in _glue([(b, v) for b, _, v in done]):
-            own = {k: first[k] for k in keys} | {"layer_id": first["generation"], "written_at": first["written_at"], "value": value}
-            out.append(own | {"lo": box[0][0], "hi": box[0][1], "axes": [{"lo": a, "hi": b} for a, b in box[1:]]})
+    def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        return pa.Table.from_pylist(out, schema=to_arrow_schema(schema))
-
-    return held.groupBy(*keys, "generation").applyInArrow(run, schema)
+        shape = to_arrow_schema(schema)
+        for table in in_chunks(batches, ["_h", "_b", *by]):
+            firsts = [*groups(table, ["_h", "_b", *by]).tolist(), table.num_rows]
+            for a, b in zip(firsts, firsts[1:]):
+                own = table.slice(a, b - a)
+                start, end = boxes.piece_range(edges, own.column("_h")[0].as_py(), own.column("_b")[0].as_py())
+                found = boxes.newest_boxes(own.select(["layer_id", "lo", "hi", "axes", "value"]).to_pylist(), start, end)
+                if not found:
+                    continue
+                fixed = {k: own.column(k)[0].as_py() for k in by}
+                fixed["layer_id"] = fixed.pop("generation")
+                rows = [fixed | {"lo": lo, "hi": hi, "axes": [{"lo": x, "hi": y} for x, y in axes], "value": value} for lo, hi, axes, value in found]
+                yield pa.RecordBatch.from_pylist(rows, schema=shape)
+
+    return placed.mapInArrow(run, schema)

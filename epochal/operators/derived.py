@@ -1,9 +1,13 @@
-"""Derived lenses: expressions evaluated on the common segments of all lenses they read."""
+"""Derived lenses: expressions evaluated on the common segments of all lenses they read.
+
+All lenses of an expression, those of its rolling aggregates too, are swept together: one shuffle, of
+their facts in the range that is read, whatever the expression. The expression itself is a Spark
+expression over the columns that the sweep gives.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +15,8 @@ from pyspark.sql import functions as F
 from epochal.functions.expressions import Binary, Expr, Ident, Node, Rolling, Unary, compile_node
 from epochal.functions.values import KINDS, SPARK_TYPES, EngineError, wrapping
 from epochal.operators import reads, segments
-from epochal.runtime import floor_div
-
-MERGE_BUCKETS = 4096  # at most so many pieces of one segment while segments are merged
-
+from epochal.operators.segments import Part, bounded
+from epochal.operators.sweep import Leaf
 
 @dataclass
 class Base:
@@ -38,11 +40,11 @@ class Lazy:
 
 @dataclass
 class Scope:
-    """The lenses that an expression can name, their keys, and the bucket width of interval joins."""
+    """The lenses that an expression can name, their keys, and (for tests) the rows of a piece of a long series."""
 
     lenses: dict[str, Base | Lazy]
     keys: list[str] = field(default_factory=list)
-    width: int | None = None
+    piece: int | None = None
 
     def lens(self, name: str) -> Base | Lazy:
         if name not in self.lenses:
@@ -51,6 +53,7 @@ class Scope:
 
 
 def _leaves(scope: Scope, e: Expr) -> list[Expr]:
+    """The stored lenses and rolling aggregates that ``e`` reads, through lazy lenses too."""
     match e:
         case Ident(name):
             lens = scope.lens(name)
@@ -65,34 +68,16 @@ def _leaves(scope: Scope, e: Expr) -> list[Expr]:
     return []
 
 
-def bounds(scope: Scope, e: Expr) -> list[DataFrame]:
-    """Points (keys, p) at which the value of ``e`` can change."""
-    keys = scope.keys
+def _marks(scope: Scope, e: Expr) -> set[int]:
+    """Fixed times at which ``e`` can change: the ends of what lazy lenses are restricted to."""
     match e:
-        case Ident(name):
-            lens = scope.lens(name)
-            if isinstance(lens, Lazy):
-                inner = bounds(scope, lens.expr)
-                if lens.over and inner:
-                    edges = inner[0].select(*keys).distinct()
-                    inner.append(edges.select(*keys, F.explode(F.array(*[F.lit(x).cast("long") for x in lens.over])).alias("p")))
-                return inner
-            held = segments.clip(lens.facts.select(*keys, "lo", "hi"), lens.keep_from, None)
-            return [held.select(*keys, F.explode(F.array("lo", "hi")).alias("p"))]
-        case Rolling(_, name, begin, end):
-            return [b.select(*keys, F.explode(F.array(F.col("p") - begin, F.col("p") - end)).alias("p")) for b in bounds(scope, Ident(name))]
+        case Ident(name) if isinstance(lens := scope.lens(name), Lazy):
+            return _marks(scope, lens.expr) | set(lens.over or ())
         case Unary(_, of):
-            return bounds(scope, of)
+            return _marks(scope, of)
         case Binary(_, a, b):
-            return bounds(scope, a) + bounds(scope, b)
-    return []
-
-
-def _width(scope: Scope) -> int:
-    if scope.width is None:
-        held = [lens.facts for lens in scope.lenses.values() if isinstance(lens, Base)]
-        scope.width = max((segments.bucket_width(f, scope.keys) for f in held), default=1)
-    return scope.width
+            return _marks(scope, a) | _marks(scope, b)
+    return set()
 
 
 def _node(scope: Scope, e: Expr, leaves: dict[Expr, Node]) -> Node:
@@ -111,38 +96,73 @@ def _node(scope: Scope, e: Expr, leaves: dict[Expr, Node]) -> Node:
     return compile_node(e, leaves)
 
 
+def _part(scope: Scope, leaf: Expr, start: int, end: int) -> tuple[Part, str]:
+    """The rows that a leaf reads for [start, end), and the kind of its values. Bounds reach the scan."""
+    if isinstance(leaf, Ident):
+        lens = scope.lens(leaf.name)
+        lower = start if lens.keep_from is None else max(start, lens.keep_from)
+        return Part(segments.clip(lens.facts.select(*scope.keys, "layer_id", "lo", "hi", "value"), lower, end)), lens.kind
+    a, b = bounded(start + leaf.begin), bounded(end + leaf.end)
+    lens = scope.lens(leaf.lens)
+    if isinstance(lens, Base):
+        lower = a if lens.keep_from is None else max(a, lens.keep_from)
+        rows, kind = segments.clip(lens.facts.select(*scope.keys, "layer_id", "lo", "hi", "value"), lower, b), lens.kind
+    else:
+        inner, _, kind = _cells(scope, [Ident(leaf.lens)], a, max(a, b), whole=True)
+        rows = inner.select(*scope.keys, F.col("start").alias("lo"), F.col("end").alias("hi"), "value", F.col("present").cast("long").alias("_n"))
+    return Part(rows, Leaf("roll", leaf.function, leaf.begin, leaf.end)), {"count": "int", "avg": "float"}.get(leaf.function, kind)
+
+
+def _cells(scope: Scope, exprs: list[Expr], start: int, end: int, whole: bool = False) -> tuple[DataFrame, bool, str]:
+    """keys, _h, _b, start, end, split, _edge, value of the first expression where it is present and the second is true.
+
+    whole: absent cells, too, with a column ``present``. Also: whether a series was cut, and the kind of the value.
+    """
+    e, *tests = exprs
+    leaves = list(dict.fromkeys(x for y in exprs for x in _leaves(scope, y)))
+    read = [_part(scope, leaf, start, end) for leaf in leaves]
+    if start >= end:
+        read = [(Part(p.rows.where(F.lit(False)), p.leaf), k) for p, k in read]
+    parts = [p for p, _ in read]
+    if not scope.keys:  # the one series there is, though nothing be stored in it
+        spark = _session(scope)
+        anchor = spark.range(1 if start < end else 0).select(F.lit(start).cast("long").alias("lo"), F.lit(end).cast("long").alias("hi"), F.lit(0).cast("long").alias("_n"))
+        parts = [*parts, Part(anchor, Leaf("depth"))]
+    marks = sorted({t for x in exprs for t in _marks(scope, x) if start < t < end})
+    spec = {"start": start, "end": end, "cover": True, "keep": True, "points": tuple(marks)}
+    if not parts:
+        raise EngineError("invalid expression: constants have no series")
+    rows, cut = segments.cells(parts, scope.keys, spec, scope.piece)
+    nodes: dict[Expr, Node] = {}
+    with wrapping(rows.sparkSession):
+        for i, (leaf, (_, kind)) in enumerate(zip(leaves, read)):
+            value = F.col(f"x{i}")
+            if isinstance(leaf, Rolling):
+                error = F.raise_error(F.lit("invalid expression: aggregate of a value that is no number")).cast(SPARK_TYPES[kind])
+                value = F.when(F.col(f"bad{i}"), error).otherwise(value)
+            nodes[leaf] = Node(kind, F.col(f"p{i}"), value)
+        node = _node(scope, e, nodes)
+        for test in tests:
+            found = _node(scope, test, nodes)
+            rows = rows.where(found.present & F.coalesce(found.value, F.lit(False))) if found.kind == "bool" else rows.where(F.lit(False))
+        if not whole:
+            rows = rows.where(node.present)
+        kind = node.kind or "int"
+        value = F.when(node.present, node.value) if whole else node.value
+        out = rows.select(*scope.keys, "_h", "_b", "start", "end", "split", "_edge", value.cast(SPARK_TYPES[kind]).alias("value"), *([node.present.alias("present")] if whole else []))
+        out.schema  # noqa: B018 - analysed while the session wraps
+    return out, cut, kind
+
+
 def evaluate(scope: Scope, e: Expr, start: int, end: int, where: Expr | None = None) -> DataFrame:
     """keys, start, end, value of ``e`` on un-merged segments of [start, end); absent ones have no row.
 
     A segment's value is the expression at its start. where: only segments on which it is true stay
-    (absent, null and other values drop the segment); its boundaries split too.
+    (absent, null and other values drop the segment); its boundaries split too. A series is what has
+    a fact in the range; without keys there is one series whatever is stored.
     """
-    exprs = [e] + ([where] if where is not None else [])
-    points = [b for x in exprs for b in bounds(scope, x)]
-    if start >= end:
-        points = [b.where(F.lit(False)) for b in points]
-    spark = _session(scope)
-    if not points:  # constants only: they hold everywhere, for the one series there is
-        points = [spark.createDataFrame([(start,)], "p long")]
-    grid = segments.common_grid(reduce(DataFrame.unionByName, points), scope.keys, start, end)
-    leaves: dict[Expr, Node] = {}
-    for i, leaf in enumerate(dict.fromkeys(x for y in exprs for x in _leaves(scope, y))):
-        name = f"_l{i}"
-        if isinstance(leaf, Ident):
-            lens = scope.lens(leaf.name)
-            grid, kind = segments.attach(grid, lens.facts, scope.keys, name, _width(scope), lens.keep_from), lens.kind
-        else:
-            grid, kind = _roll(scope, leaf, grid, name, start, end)
-        leaves[leaf] = Node(kind, F.col(f"{name}.present"), F.col(f"{name}.value"))
-    with wrapping(spark):
-        node = _node(scope, e, leaves)
-        rows = grid
-        if where is not None:
-            test = _node(scope, where, leaves)
-            rows = rows.where(test.present & F.coalesce(test.value, F.lit(False))) if test.kind == "bool" else rows.where(F.lit(False))
-        out = rows.where(node.present).select(*scope.keys, "start", "end", node.value.cast(SPARK_TYPES[node.kind or "int"]).alias("value"))
-        out.schema  # noqa: B018 - analysed while the session wraps
-    return out
+    out, cut, _ = _cells(scope, [e] + ([where] if where is not None else []), start, end)
+    return segments.unsplit(out, scope.keys, cut)
 
 
 def _session(scope: Scope):
@@ -154,48 +174,16 @@ def _session(scope: Scope):
     return SparkSession.active()
 
 
-def _roll(scope: Scope, node: Rolling, grid: DataFrame, name: str, start: int, end: int) -> tuple[DataFrame, str]:
-    """grid with the aggregate of the window [t + begin, t + end) around each segment's start t.
-
-    A window meets the segments it overlaps, cut to it: an interval join on time buckets as wide as the
-    window, in which each pair is met in exactly one bucket.
-    """
-    keys, cols = scope.keys, grid.columns
-    if node.begin >= node.end:
-        kind = "int" if node.function == "count" else "float"
-        return grid.withColumn(name, F.struct(F.lit(False).alias("present"), F.lit(None).cast(SPARK_TYPES[kind]).alias("value"))), kind
-    inner = evaluate(scope, Ident(node.lens), start + node.begin, end + node.end)
-    kind = KINDS[dict(inner.dtypes)["value"]]
-    width = max(_width(scope), node.end - node.begin)
-    lo, hi = F.col("start") + node.begin, F.col("start") + node.end
-    windows = grid.withColumn("_from", lo).withColumn("_to", hi).withColumn("_b", F.explode(F.sequence(floor_div(lo, width), floor_div(hi - 1, width))))
-    held = inner.select(*keys, F.col("start").alias("_lo"), F.col("end").alias("_hi"), F.col("value").alias("_v")).withColumn("_b", F.explode(F.sequence(floor_div("_lo", width), floor_div(F.col("_hi") - 1, width))))
-    once = F.col("g._b") == F.greatest(floor_div(F.col("g._from"), width), floor_div(F.col("f._lo"), width))
-    on = segments.same(keys, "g", "f") & (F.col("g._b") == F.col("f._b")) & (F.col("f._lo") < F.col("g._to")) & (F.col("f._hi") > F.col("g._from")) & once
-    pairs = windows.alias("g").join(held.alias("f"), on).select(*[F.col(f"g.{c}").alias(c) for c in keys], F.col("g.start").alias("_at"), F.greatest("f._lo", "g._from").alias("start"), F.least("f._hi", "g._to").alias("end"), F.col("f._v").alias("value"), F.lit(True).alias("split"))
-    with wrapping(grid.sparkSession):
-        agg = reads.reduce_segments(pairs, [*keys, "_at"], (node.function,))
-        agg.schema  # noqa: B018
-    out_kind = {"count": "int", "avg": "float"}.get(node.function, kind)
-    on = segments.same(keys, "g", "a") & (F.col("g.start") == F.col("a._at"))
-    present = F.col("a._at").isNotNull()
-    joined = grid.alias("g").join(agg.alias("a"), on, "left")
-    return joined.select(*[F.col(f"g.{c}").alias(c) for c in cols], F.struct(present.alias("present"), F.col(f"a.{node.function}").alias("value")).alias(name)), out_kind
-
-
 def range_expr(scope: Scope, e: Expr, start: int, end: int, where: Expr | None = None) -> DataFrame:
     """keys, start, end, value: maximal segments of an expression, filtered before they are merged."""
-    width = max(_width(scope), (end - start) // MERGE_BUCKETS + 1)
-    return segments.merged(evaluate(scope, e, start, end, where), scope.keys, width)
+    out, cut, _ = _cells(scope, [e] + ([where] if where is not None else []), start, end)
+    return segments.merged(out, scope.keys, cut)
 
 
 def reduce_expr(scope: Scope, e: Expr, start: int, end: int, functions=reads.AGGREGATES) -> DataFrame:
     """Aggregates over the un-merged segments of an expression."""
-    pieces = evaluate(scope, e, start, end).withColumn("split", F.lit(True))
-    with wrapping(pieces.sparkSession):
-        out = reads.reduce_segments(pieces, scope.keys, functions)
-        out.schema  # noqa: B018
-    return out
+    pieces, _, _ = _cells(scope, [e], start, end)
+    return reads.reduce_segments(pieces, scope.keys, functions)
 
 
 def at_expr(scope: Scope, e: Expr, t: int) -> DataFrame:

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epochal.functions.values import wrapping
 from epochal.operators import segments
-from epochal.operators.segments import elementary, in_buckets, same
-from epochal.runtime import floor_div
+from epochal.operators.segments import elementary, same
 
 AGGREGATES = ("count", "sum", "avg", "min", "max")
 
@@ -52,23 +52,37 @@ def at(facts: DataFrame, keys: list[str], t: int, coordinates: list[int] | None
     return found.where("_n > 0").drop("_n")
 
 
-def at_points(facts: DataFrame, points: DataFrame, keys: list[str], width: int | None = None, written: str | None = None) -> DataFrame:
+def at_points(facts: DataFrame, points: DataFrame, keys: list[str], written: str | None = None, piece: int | None = None) -> DataFrame:
     """Many points at once: points (keys..., t[, written]) with the value at each that is covered.
 
     Repeated points are answered once. written: name of a column of points with the time to travel to.
     """
-    width = width or segments.bucket_width(facts, keys)
-    asked = points.select(*keys, "t", *([written] if written else [])).distinct().withColumn("_b", floor_div("t", width))
-    valid = facts.where("lo < hi")
-    held = in_buckets(valid, width) if written else segments.newest_pieces(valid, keys, width)
-    on = same(keys, "p", "f") & (F.col("p._b") == F.col("f._b")) & (F.col("f._lo") <= F.col("p.t")) & (F.col("p.t") < F.col("f._hi"))
-    if written:
-        on = on & (F.col("f.written_at") <= F.col(f"p.{written}"))
-    out = [*keys, "t", *([written] if written else [])]
-    return asked.alias("p").join(held.alias("f"), on).groupBy(*[F.col(f"p.{c}").alias(c) for c in out]).agg(F.max_by("f.value", "f.layer_id").alias("value"))
-
-
-def range_(facts: DataFrame, keys: list[str], start: int, end: int, width: int | None = None, coordinates: list[int] | None = None, written: int | None = None, keep_from: int | None = None) -> DataFrame:
+    if written is None:
+        return segments.at_points(facts, points, keys, piece)
+    asked = points.select(*keys, "t", written).distinct()
+    held, levels = by_length(facts.where("lo < hi"))
+    at = asked.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]) if levels else F.array().cast("array<int>"))).withColumn("_b", F.call_function("shiftright", F.col("t"), F.col("_level")))
+    on = same([*keys, "_level", "_b"], "p", "f") & (F.col("f.lo") <= F.col("p.t")) & (F.col("p.t") < F.col("f.hi")) & (F.col("f.written_at") <= F.col(f"p.{written}"))
+    newest = F.max(F.struct("f.layer_id", "f.value"))
+    return at.alias("p").join(held.alias("f"), on).groupBy(*[F.col(f"p.{c}").alias(c) for c in [*keys, "t", written]]).agg(newest.alias("_m")).select(*keys, "t", written, F.col("_m.value").alias("value"))
+
+
+def by_length(facts: DataFrame) -> tuple[DataFrame, list[int]]:
+    """facts with _level, the power of two that is no less than their length, and _b, the runs of that length they touch.
+
+    A fact touches two runs at most, whatever its length, and a point looks into one run per level that
+    there is (at most 64). What meets in a run is less than two lengths apart.
+    """
+    span = F.call_function("try_subtract", F.col("hi"), F.col("lo"))
+    level = F.when(span.isNull(), 63).otherwise(F.ceil(F.log2(span.cast("double"))).cast("int"))
+    level = F.when((level < 63) & (F.call_function("shiftleft", F.lit(1).cast("long"), level) < span), level + 1).otherwise(level)
+    placed = facts.withColumn("_level", F.least(level, F.lit(63)))
+    run = lambda c: F.call_function("shiftright", c, F.col("_level"))
+    levels = sorted(r[0] for r in placed.select("_level").distinct().collect())
+    return placed.withColumn("_b", F.explode(F.array_distinct(F.array(run(F.col("lo")), run(F.col("hi") - 1))))), levels
+
+
+def range_(facts: DataFrame, keys: list[str], start: int, end: int, coordinates: list[int] | None = None, written: int | None = None, keep_from: int | None = None, piece: int | None = None) -> DataFrame:
     """keys, start, end, value: maximal newest-wins segments of [start, end)."""
     held = as_of(facts, written)
     if coordinates is not None:
@@ -77,7 +91,7 @@ def range_(facts: DataFrame, keys: list[str], start: int, end: int, width: int |
         start = max(start, keep_from)
     if start >= end:
         held = held.where(F.lit(False))
-    return segments.newest_wins(held, keys, start, end, width)
+    return segments.newest_wins(held, keys, start, end, piece)
 
 
 def page(found: DataFrame, keys: list[str], limit: int | None, offset: int | None) -> DataFrame:
@@ -100,8 +114,15 @@ def reduce_segments(pieces: DataFrame, keys: list[str], functions=AGGREGATES) ->
 
     count and sum are per segment; avg weighs by duration and is a double; min and max are unweighted.
     No segment, no row. A null, text or truth value is an error for all but count; one single segment's
-    min or max is returned whatever it is.
+    min or max is returned whatever it is. Sums of integers wrap.
     """
+    with wrapping(pieces.sparkSession):
+        out = _reduced(pieces, keys, functions)
+        out.schema  # noqa: B018 - analysed while the session wraps
+    return out
+
+
+def _reduced(pieces: DataFrame, keys: list[str], functions) -> DataFrame:
     kind = dict(pieces.dtypes)["value"]
     numeric = kind in ("bigint", "int", "double", "float")
     span = (F.col("end") - F.col("start")).cast("double")
@@ -127,14 +148,14 @@ def reduce_segments(pieces: DataFrame, keys: list[str], functions=AGGREGATES) ->
     return out.where("_n > 0").drop("_n")
 
 
-def reduce_(facts: DataFrame, keys: list[str], start: int | None, end: int | None, functions=AGGREGATES, width: int | None = None, written: int | None = None, keep_from: int | None = None) -> DataFrame:
+def reduce_(facts: DataFrame, keys: list[str], start: int | None, end: int | None, functions=AGGREGATES, written: int | None = None, keep_from: int | None = None, piece: int | None = None) -> DataFrame:
     """Aggregates over the un-merged segments of [start, end); see :func:`reduce_segments`."""
     if keep_from is not None:
         start = keep_from if start is None else max(start, keep_from)
     held = as_of(facts, written)
     if start is not None and end is not None and start >= end:
         held = held.where(F.lit(False))
-    return reduce_segments(elementary(held, keys, start, end, width), keys, functions)
+    return reduce_segments(elementary(held, keys, start, end, piece), keys, functions)
 
 
 def history(facts: DataFrame, keys: list[str], start: int | None = None, end: int | None = None) -> DataFrame:

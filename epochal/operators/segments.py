@@ -1,42 +1,55 @@
-"""Elementary segments, merged segments and aligned segments of layered facts.
+"""Elementary, merged and aligned segments of layered facts, and how they are spread over tasks.
 
-A facts DataFrame has key columns (any number, also none), layer_id, lo, hi and value.
-Time is cut into buckets, so that one series spreads over many tasks however long it is;
-the cuts never show in a result: a piece that begins at a cut is marked ``split = false``.
+A facts DataFrame has key columns (any number, also none), layer_id, lo, hi and value. The rows of a
+series meet in one task, which sweeps many series at once (operators.sweep). A series with more than
+PIECE rows is cut in time into pieces of about that many, at quantiles of its own bounds, so that it
+spreads over many tasks; facts that fill a piece reach it as one row, by a partial aggregate over a
+tree of pieces. The cuts never show in a result: what begins at one is marked ``split = false``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
-from epochal.runtime import floor_div
+from epochal.operators import sweep
+from epochal.operators.sweep import HIGH, LOW, Leaf, Sweep
 
-SPREAD = 4  # widest bucket, in mean durations of a fact
-GRID_BUCKETS = 4096  # of the range of an expression
-STITCH = 64  # buckets that are stitched together before the rest of a series is
+PIECE = 1 << 18  # rows of one series that one task sweeps at once
+SAMPLE = 1 << 18  # bounds of cut series that are read to place the cuts (16 per piece if that is more)
 
 
-def bucket_width(facts: DataFrame, keys: list[str] = ()) -> int:
-    """Mean duration over the root of the mean depth (facts that hold at one time in one series).
+@dataclass
+class Part:
+    """The rows of one leaf: keys, layer_id, lo, hi, value (and _n: what a row counts, else 1)."""
 
-    A fact then touches about root-of-depth buckets, of which it fills all but two, and a bucket's
-    boundaries meet about root-of-depth unfinished facts: the work grows with the facts times that
-    root, not with the facts times their depth.
-    """
-    stats = facts.where("lo < hi").agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        F.avg(F.col("hi").cast("double") - F.col("lo")).alias("mean"),
-        (F.max("hi").cast("double") - F.min("lo")).alias("span"),
-        (F.approx_count_distinct(F.struct(*keys)) if keys else F.lit(1)).alias("series"),
-    )
-    r = stats.head()
-    if not r.n:
-        return 1
-    depth = r.n * r.mean / max(1.0, r.span * max(1, r.series))
-    return max(1, int(r.mean * min(SPREAD, depth**-0.5)))
+    rows: DataFrame
+    leaf: Leaf = Leaf()
+
+    @property
+    def reach(self) -> tuple[Column, Column]:
+        """The first and last time at which a row matters."""
+        if self.leaf.kind == "point":
+            return F.col("lo"), F.col("lo")
+        if self.leaf.kind == "roll":
+            return _moved("lo", -self.leaf.end), _moved("hi", -self.leaf.begin)
+        return F.col("lo"), F.col("hi")
+
+
+def _moved(x: str, by: int) -> Column:
+    c = F.col(x)
+    out = F.call_function("try_add", c, F.lit(by).cast("long"))
+    return F.coalesce(out, F.lit(HIGH if by > 0 else LOW).cast("long"))
+
+
+def bounded(t: int) -> int:
+    return max(LOW, min(HIGH, t))
 
 
 def same(keys: list[str], a: str, b: str) -> Column:
@@ -53,132 +66,229 @@ def clip(facts: DataFrame, start: int | None, end: int | None) -> DataFrame:
     return out
 
 
-def in_buckets(facts: DataFrame, width: int) -> DataFrame:
-    """One row per fact and bucket that it touches: _b, and the piece [_lo, _hi) in it."""
-    first, last = floor_div("lo", width), floor_div(F.col("hi") - 1, width)
-    return (
-        facts.withColumn("_b", F.explode(F.sequence(first, last)))
-        .withColumn("_lo", F.greatest("lo", F.col("_b") * width))
-        .withColumn("_hi", F.least("hi", (F.col("_b") + 1) * width))
-    )
+def _hash(keys: list[str]) -> Column:
+    return F.xxhash64(*keys) if keys else F.lit(0).cast("long")
 
 
-def series(keys: list[str]) -> Column:
-    """One never-null column for all keys: equal structs are equal in joins too, nulls included."""
-    return F.struct(*keys) if keys else F.lit(0)
+def inner_names(keys: list[str]) -> list[str]:
+    """Names of the keys inside a sweep, where they cannot clash with its own columns."""
+    return [f"_k{i}" for i in range(len(keys))]
 
 
-def newest_pieces(facts: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """keys, _b, _lo, _hi, layer_id, value: pieces by bucket, of those that fill a bucket the newest alone."""
-    cut = in_buckets(facts, width).select(*keys, "_b", "_lo", "_hi", "layer_id", "value")
-    fills = F.col("_hi") - F.col("_lo") == width
-    whole = cut.where(fills).groupBy(*keys, "_b").agg(F.max("layer_id").alias("layer_id"), F.max_by("value", "layer_id").alias("value"))
-    filled = whole.select(*keys, "_b", (F.col("_b") * width).alias("_lo"), ((F.col("_b") + 1) * width).alias("_hi"), "layer_id", "value")
-    return cut.where(~fills).unionAll(filled)
+def _laid(parts: list[Part], keys: list[str]) -> DataFrame:
+    """All parts as one frame: the keys as _k0, _k1..., _h, _leaf, _n, layer_id, lo, hi, _from, _to and a value column per part."""
+    kinds = [dict(p.rows.dtypes).get("value", "bigint") for p in parts]
+    out = []
+    for i, p in enumerate(parts):
+        first, last = p.reach
+        values = [(F.col("value") if j == i and p.leaf.kind != "point" and p.leaf.kind != "depth" else F.lit(None)).cast(k).alias(f"v{j}") for j, k in enumerate(kinds)]
+        layer = F.col("layer_id").cast("long") if "layer_id" in p.rows.columns else F.lit(0).cast("long")
+        weight = (F.col("_n") if "_n" in p.rows.columns else F.lit(1)).cast("long")
+        hi = F.col("hi").cast("long") if "hi" in p.rows.columns else F.col("lo").cast("long")
+        out.append(p.rows.select(*[F.col(k).alias(n) for k, n in zip(keys, inner_names(keys))], _hash(keys).alias("_h"), F.lit(i).alias("_leaf"), weight.alias("_n"), layer.alias("layer_id"), F.col("lo").cast("long").alias("lo"), hi.alias("hi"), first.cast("long").alias("_from"), last.cast("long").alias("_to"), *values))
+    return reduce(DataFrame.unionAll, out)
 
 
-def elementary(facts: DataFrame, keys: list[str], start: int | None = None, end: int | None = None, width: int | None = None) -> DataFrame:
-    """Un-merged newest-wins segments: keys, start, end, split, value, _b.
+def cuts(laid: DataFrame, piece: int) -> dict[int, object]:
+    """Per series (by hash) with more than ``piece`` rows: the times at which it is cut, as a sorted array.
 
-    A segment begins at every boundary of every layer, occluded facts included. Rows with
-    split = false continue the segment before them across a bucket's edge: they add to durations
-    and never to counts. A stored null is a value and hides older ones; uncovered time has no row.
-    Facts of one layer do not overlap (appends see to it); exact repeats change nothing.
+    One row per such series comes to the driver, and a sample of their bounds, which decides where
+    tasks begin and nothing else. Two series with one hash are cut alike, which harms neither.
     """
-    clipped = clip(facts.select(*keys, "layer_id", "lo", "hi", "value"), start, end)
-    width = width or bucket_width(clipped, keys)
-    found = _elementary(clipped.select(series(keys).alias("_k"), "layer_id", "lo", "hi", "value"), width)
-    return found.select(*[F.col(f"_k.{k}").alias(k) for k in keys], "start", "end", "split", "value", "_b")
-
-
-def _elementary(facts: DataFrame, width: int) -> DataFrame:
-    """_k, _b, start, end, split, value. Points and pieces are each shuffled once, by series and bucket."""
-    def point(bucket: Column, at: Column, real: Column) -> Column:
-        return F.struct(bucket.alias("_b"), at.alias("p"), real.alias("real"))
-
-    b, lo, hi = F.col("_b"), F.col("_lo"), F.col("_hi")
-    own = F.array(point(b, lo, lo == F.col("lo")), point(b, hi, F.lit(False)))
-    last = F.array(point(floor_div("hi", width), F.col("hi"), F.lit(True)))  # on an edge it splits the next bucket, too
-    marks = F.when(hi == F.col("hi"), F.concat(own, last)).otherwise(own)
-    points = in_buckets(facts, width).select("_k", F.explode(marks).alias("x")).select("_k", "x._b", "x.p", "x.real")
-    order = Window.partitionBy("_k", "_b").orderBy("p")
-    grid = points.withColumns({"q": F.lead("p").over(order), "split": F.max("real").over(order.rangeBetween(0, 0))}).where("q > p")
-    held = newest_pieces(facts, ["_k"], width)
-    on = (F.col("g._k") == F.col("f._k")) & (F.col("g._b") == F.col("f._b")) & (F.col("f._lo") <= F.col("g.p")) & (F.col("g.p") < F.col("f._hi"))
-    covered = grid.alias("g").join(held.alias("f"), on).select("g._k", "g._b", F.col("p").alias("start"), F.col("q").alias("end"), "split", "layer_id", "value")
-    return covered.groupBy("_k", "_b", "start", "end", "split").agg(F.max_by("value", "layer_id").alias("value"))
-
-
-def _stitch(rows: DataFrame, within: dict[str, Column]) -> DataFrame:
-    """Joins touching segments of equal value inside each group (_k and the columns of ``within``)."""
-    by = ["_k", *within]
-    group = Window.partitionBy(*by).orderBy("start")
-    joins = F.lag("end").over(group).eqNullSafe(F.col("start")) & F.lag("value").over(group).eqNullSafe(F.col("value"))
-    marked = rows.withColumns(within).withColumn("_new", F.when(joins, 0).otherwise(1))
+    import numpy as np
+
+    counted = laid.groupBy("_h").count().where(F.col("count") > piece).collect()  # at most rows / piece
+    if not counted:
+        return {}
+    spark = laid.sparkSession
+    total = sum(r["count"] for r in counted)
+    rows = max(SAMPLE, 16 * total // piece)
+    hot = spark.createDataFrame([(r["_h"],) for r in counted], "_h long")
+    bounds = laid.select("_h", "lo", "hi").join(F.broadcast(hot), "_h").select("_h", F.explode(F.array("lo", "hi")).alias("t")).where("t is not null")
+    taken = bounds.sample(min(1.0, rows / (2 * total)), 17).toPandas()
+    out = {}
+    for h, times in taken.groupby("_h")["t"]:
+        n = -(-next(r["count"] for r in counted if r["_h"] == h) // piece)
+        held = np.sort(times.to_numpy())
+        out[int(h)] = np.unique(held[np.linspace(0, len(held) - 1, n + 1).astype(int)[1:-1]])
+    return {h: e for h, e in out.items() if len(e)}
+
+
+def piece_number(edges):
+    """A column function of a series' hash and a time: the piece of the series that holds the time."""
+
+    @F.pandas_udf(IntegerType())
+    def piece_of(h: pd.Series, t: pd.Series) -> pd.Series:
+        import numpy as np
+
+        out, held = np.zeros(len(h), np.int32), h.to_numpy()
+        for one in np.unique(held):
+            if (own := edges.value.get(int(one))) is not None:
+                here = held == one
+                out[here] = np.searchsorted(own, t.to_numpy()[here], "right")
+        return pd.Series(out)
+
+    return piece_of
+
+
+def _spread(laid: DataFrame, parts: list[Part], keys: list[str], edges) -> DataFrame:
+    """laid with the piece _b of each row, once per piece in which it matters."""
+    values = [f"v{i}" for i in range(len(parts))]
+    cols = [*keys, "_h", "_b", "_leaf", "_n", "layer_id", "lo", "hi", *values]
+    if edges is None:
+        return laid.withColumn("_b", F.lit(0)).select(*cols)
+    most = max(len(e) for e in edges.value.values()) + 1
+
+    piece_of = piece_number(edges)
+    placed = laid.withColumn("_x", piece_of("_h", "_from")).withColumn("_y", piece_of("_h", "_to"))
+    whole = [i for i, p in enumerate(parts) if p.leaf.kind == "roll"]  # every bound of these counts
+    every = placed.where(F.col("_leaf").isin(whole)).withColumn("_b", F.explode(F.sequence("_x", "_y"))).select(*cols) if whole else None
+    rest = placed.where(~F.col("_leaf").isin(whole)) if whole else placed
+    ends = rest.withColumn("_b", F.explode(F.array_distinct(F.array("_x", "_y")))).select(*cols)
+    # the pieces between the two ends: nodes of a binary tree over the pieces, the newest fact of each
+    top = most.bit_length()
+    a, b = F.col("_x") + 1, F.col("_y")
+
+    def node(k: Column, left: bool) -> Column:
+        step = F.expr("shiftleft(1, k)") if k is None else F.call_function("shiftleft", F.lit(1), k)
+        x, y = F.call_function("shiftright", a + step - 1, k), F.call_function("shiftright", b, k)
+        own = x if left else y - 1
+        return F.when((x < y) & (F.pmod(x if left else y, F.lit(2)) == 1), F.struct(k.alias("level"), own.alias("node")))
+
+    levels = F.sequence(F.lit(0), F.lit(top))
+    nodes = F.filter(F.concat(F.transform(levels, lambda k: node(k, True)), F.transform(levels, lambda k: node(k, False))), lambda x: x.isNotNull())
+    inner = rest.where(b > a).withColumn("_k", F.explode(nodes))
+    newest = F.max(F.struct("layer_id", *values)).alias("_m")
+    by = [*keys, "_h", "_leaf"]
+    held = inner.groupBy(*by, "_k").agg(newest, F.sum("_n").alias("_n"))
+    width = F.call_function("shiftleft", F.lit(1), F.col("_k.level"))
+    boxes = held.withColumn("_b", F.explode(F.sequence(F.col("_k.node") * width, (F.col("_k.node") + 1) * width - 1)))
+    filled = boxes.groupBy(*by, "_b").agg(F.max("_m").alias("_m"), F.sum("_n").alias("_n"))
+    none = F.lit(None).cast("long")
+    fill = filled.select(*keys, "_h", "_b", "_leaf", "_n", F.col("_m.layer_id").alias("layer_id"), none.alias("lo"), none.alias("hi"), *[F.col(f"_m.{v}").alias(v) for v in values])
+    out = ends.unionAll(fill)
+    return out if every is None else out.unionAll(every)
+
+
+def cells(parts: list[Part], keys: list[str], spec: dict, piece: int | None = None) -> tuple[DataFrame, bool]:
+    """The cells of a sweep, and whether any series was cut. spec: the other fields of Sweep.
+
+    Columns: keys, _h, _b, start, end, split, _edge, and per leaf p0, x0 (and bad0 for rolling ones).
+    Rows of one series and piece lie together, in order. One shuffle of the rows of all parts.
+    """
+    piece = piece or PIECE
+    laid = _laid(parts, keys)
+    names = inner_names(keys)
+    found = cuts(laid, piece)
+    edges = laid.sparkSession.sparkContext.broadcast(found) if found else None  # eight bytes per piece
+    rows = _spread(laid, parts, names, edges)
+    by = ["_h", "_b", *names]
+    ordered = rows.repartition("_h", "_b").sortWithinPartitions(*by)
+    plan = Sweep(tuple(names), tuple(p.leaf for p in parts), **spec)
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    fields = [StructField(k, types[k]) for k in names] + [StructField("_h", LongType()), StructField("_b", IntegerType())]
+    fields += [StructField("start", LongType()), StructField("end", LongType()), StructField("split", BooleanType()), StructField("_edge", BooleanType())]
+    for i, p in enumerate(parts):
+        if p.leaf.kind != "point":
+            kind = {"count": LongType()}.get(p.leaf.function, types[f"v{i}"]) if p.leaf.kind != "depth" else LongType()
+            if p.leaf.function == "avg":
+                from pyspark.sql.types import DoubleType
+
+                kind = DoubleType()
+            fields += [StructField(f"p{i}", BooleanType()), StructField(f"x{i}", kind)]
+            if p.leaf.kind == "roll":
+                fields.append(StructField(f"bad{i}", BooleanType()))
+    schema = StructType(fields)
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        shape = to_arrow_schema(schema)
+        for table in sweep.in_chunks(batches, by):
+            out = sweep.run(plan, table, edges.value if edges else {})
+            if out is not None:
+                yield from out.select(shape.names).cast(shape).combine_chunks().to_batches(max_chunksize=1 << 16)
+
+    out = ordered.mapInArrow(run, schema)
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *[f.name for f in fields[len(keys) :]]), bool(found)
+
+
+def _islands(rows: DataFrame, keys: list[str], joined: Column, aggregates: list[Column]) -> DataFrame:
+    """Rows that touch a cut, joined over it; all others are islands of their own.
+
+    A series has at most two rows that touch each of its cuts, and only those are looked at together.
+    """
+    group = Window.partitionBy("_h", *keys, "_own").orderBy("start")
+    marked = rows.withColumn("_own", F.when(~F.col("_edge"), F.col("start"))).withColumn("_new", F.when(joined & F.lag("end").over(group).eqNullSafe(F.col("start")), 0).otherwise(1))
     named = marked.withColumn("_island", F.sum("_new").over(group.rowsBetween(Window.unboundedPreceding, 0)))
-    return named.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("value").alias("value")).select("_k", "start", "end", "value")
+    return named.groupBy("_h", *keys, "_own", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *aggregates)
 
 
-def _merged(pieces: DataFrame, width: int) -> DataFrame:
-    """_k, start, end, value: maximal segments, from pieces (_k, _b, start, end, value) inside buckets."""
-    inner = _stitch(pieces, {"_b": F.col("_b")})
-    wide = width * STITCH
+def _over_cuts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, start, end, value with equal neighbours joined over cuts."""
+    group = Window.partitionBy("_h", *keys, "_own").orderBy("start")
+    found = _islands(rows, keys, F.lag("value").over(group).eqNullSafe(F.col("value")), [F.first("value").alias("value")])
+    return found.select(*keys, "start", "end", "value")
 
-    def tiers(edge_width: int, group: Column) -> dict[str, Column]:
-        edge = (F.pmod(F.col("start"), F.lit(edge_width)) == 0) | (F.pmod(F.col("end"), F.lit(edge_width)) == 0) | (floor_div("start", edge_width) != floor_div(F.col("end") - 1, edge_width))
-        return {"_edge": F.when(edge, group), "_own": F.when(~edge, F.col("start"))}
 
-    return _stitch(_stitch(inner, tiers(width, floor_div("start", wide))), tiers(wide, F.lit(0).cast("long")))
+def elementary(facts: DataFrame, keys: list[str], start: int | None = None, end: int | None = None, piece: int | None = None) -> DataFrame:
+    """Un-merged newest-wins segments: keys, start, end, split, value.
+
+    A segment begins at every boundary of every layer, occluded facts included. Rows with
+    split = false continue the segment before them across a cut: they add to durations
+    and never to counts. A stored null is a value and hides older ones; uncovered time has no row.
+    Facts of one layer do not overlap (appends see to it); exact repeats change nothing, and of
+    others the greater value holds. A null layer is older than all others.
+    """
+    clipped = clip(facts.select(*keys, "layer_id", "lo", "hi", "value"), start, end)
+    found, _ = cells([Part(clipped)], keys, {"start": start, "end": end}, piece)
+    return found.select(*keys, "start", "end", "split", F.col("x0").alias("value"))
 
 
-def merged(segments: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Maximal segments of equal value: keys, start, end, value.
+def newest_wins(facts: DataFrame, keys: list[str], start: int | None = None, end: int | None = None, piece: int | None = None) -> DataFrame:
+    """Maximal newest-wins segments: keys, start, end, value; the same as merging :func:`elementary`.
 
-    Segments are joined inside buckets, then inside groups of buckets; only those that touch the edge
-    of such a group are ever looked at as one series.
     Equality counts null as a value and is exact for every type.
     """
-    cut = in_buckets(segments.select(series(keys).alias("_k"), F.col("start").alias("lo"), F.col("end").alias("hi"), "value"), width)
-    pieces = cut.select("_k", "_b", F.col("_lo").alias("start"), F.col("_hi").alias("end"), "value")  # no piece crosses an edge
-    return _merged(pieces, width).select(*[F.col(f"_k.{k}").alias(k) for k in keys], "start", "end", "value")
-
-
-def newest_wins(facts: DataFrame, keys: list[str], start: int | None = None, end: int | None = None, width: int | None = None) -> DataFrame:
-    """Maximal newest-wins segments: keys, start, end, value; the same as merging :func:`elementary`."""
     clipped = clip(facts.select(*keys, "layer_id", "lo", "hi", "value"), start, end)
-    width = width or bucket_width(clipped, keys)
-    pieces = _elementary(clipped.select(series(keys).alias("_k"), "layer_id", "lo", "hi", "value"), width)
-    return _merged(pieces.select("_k", "_b", "start", "end", "value"), width).select(*[F.col(f"_k.{k}").alias(k) for k in keys], "start", "end", "value")
+    found, cut = cells([Part(clipped)], keys, {"start": start, "end": end, "merge": True}, piece)
+    rows = found.withColumnRenamed("x0", "value")
+    return _over_cuts(rows, keys) if cut else rows.select(*keys, "start", "end", "value")
 
 
-def common_grid(bounds: DataFrame, keys: list[str], start: int, end: int) -> DataFrame:
-    """keys, start, end: consecutive segments of [start, end) between all bounds (keys, p), gaps included.
+def merged(rows: DataFrame, keys: list[str], cut: bool) -> DataFrame:
+    """Maximal segments of equal value of cells (keys, _h, _b, start, end, value, _edge) as :func:`cells` lays them.
 
-    The range is cut into at most GRID_BUCKETS buckets. A bound's successor is looked up in its bucket,
-    or is the first of the series' next bucket that has any; no task sorts a whole series.
+    Only narrow steps may lie between: the rows are joined as they come, without a shuffle.
     """
-    width = max(1, (end - start) // GRID_BUCKETS + 1)
-    held = bounds.select(series(keys).alias("_k"), "p")
-    inside = held.where((F.col("p") > start) & (F.col("p") < end))
-    edges = held.select("_k").distinct().select("_k", F.explode(F.array(F.lit(start).cast("long"), F.lit(end).cast("long"))).alias("p"))
-    box = F.call_function("div", F.col("p") - start, F.lit(width).cast("long")).alias("_b")
-    points = inside.unionAll(edges).select("_k", box, "p").distinct()
-    firsts = points.groupBy("_k", "_b").agg(F.min("p").alias("_first"))  # at most GRID_BUCKETS + 1 rows per series
-    following = firsts.select("_k", "_b", F.lead("_first").over(Window.partitionBy("_k").orderBy("_b")).alias("_next"))
-    order = Window.partitionBy("_k", "_b").orderBy("p")
-    grid = points.withColumn("_q", F.lead("p").over(order)).join(following, ["_k", "_b"]).withColumn("end", F.coalesce("_q", "_next"))
-    return grid.where("end is not null").select(*[F.col(f"_k.{k}").alias(k) for k in keys], F.col("p").alias("start"), "end")
-
-
-def attach(grid: DataFrame, facts: DataFrame, keys: list[str], name: str, width: int, lower: int | None = None) -> DataFrame:
-    """grid with ``name``: struct(present, value), what the lens holds at the start of each segment.
-
-    lower: facts do not reach below this time (retention).
-    """
-    held = clip(facts.select(*keys, "layer_id", "lo", "hi", "value"), lower, None)
-    cols = grid.columns
-    on = same(keys, "g", "f") & (F.col("g._b") == F.col("f._b")) & (F.col("f._lo") <= F.col("g.start")) & (F.col("g.start") < F.col("f._hi"))
-    joined = grid.withColumn("_b", floor_div("start", width)).alias("g").join(newest_pieces(held, keys, width).alias("f"), on, "left")
-    firsts = [F.first(f"g.{c}").alias(c) for c in cols if c not in (*keys, "start")]
-    value = F.struct(F.coalesce(F.max(F.col("f.layer_id").isNotNull()), F.lit(False)).alias("present"), F.max_by("f.value", "f.layer_id").alias("value"))
-    return joined.groupBy(*[F.col(f"g.{k}").alias(k) for k in keys], F.col("g.start").alias("start")).agg(*firsts, value.alias(name))
+    cols = rows.select(*keys, "_h", "_b", "start", "end", "value", "_edge")
+    schema = cols.schema
+
+    def run(batches):
+        for table in sweep.in_chunks(batches, ["_h", "_b", *keys]):
+            yield from sweep.join_equal(table, keys).combine_chunks().to_batches(max_chunksize=1 << 16)
+
+    joined = cols.mapInArrow(run, schema)
+    return _over_cuts(joined, keys) if cut else joined.select(*keys, "start", "end", "value")
+
+
+def unsplit(rows: DataFrame, keys: list[str], cut: bool) -> DataFrame:
+    """keys, start, end, value: un-merged segments, those that a cut has split made one again."""
+    if not cut:
+        return rows.select(*keys, "start", "end", "value")
+    return _islands(rows, keys, ~F.col("split"), [F.first("value").alias("value")]).select(*keys, "start", "end", "value")
+
+
+def at_points(facts: DataFrame, points: DataFrame, keys: list[str], piece: int | None = None) -> DataFrame:
+    """keys, t, value of the newest fact at each point (keys, t) that is covered; repeated points once."""
+    asked = points.select(*keys, F.col("t").cast("long").alias("lo")).where("lo is not null")
+    held = clip(facts.select(*keys, "layer_id", "lo", "hi", "value"), None, None)
+    found, _ = cells([Part(held), Part(asked, Leaf("point"))], keys, {}, piece)
+    return found.select(*keys, F.col("start").alias("t"), F.col("x0").alias("value"))
+
+
+def crowded(facts: DataFrame, keys: list[str], piece: int | None = None) -> DataFrame:
+    """keys, start, end: time that more than one fact (lo < hi) of a series covers."""
+    held = facts.where("lo < hi").select(*keys, "lo", "hi")
+    found, _ = cells([Part(held, Leaf("depth"))], keys, {}, piece)
+    return found.select(*keys, "start", "end")

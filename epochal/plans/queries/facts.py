@@ -9,8 +9,8 @@ from epochal.sources.tables import table
 
 HOUR = 3_600_000_000  # microseconds
 T0 = 1_704_067_200_000_000  # 2024-01-01, where the events begin
-S, E = T0 + 5 * 24 * HOUR, T0 + 20 * 24 * HOUR  # the range of most queries
-WIDTH = 16 * HOUR  # buckets of interval joins: facts of a day, of which two or three overlap
+S, E = T0 - 24 * HOUR, T0 + 40 * 24 * HOUR  # the range of most queries: all events, and a day at most after each
+MID = T0 + 5 * 24 * HOUR  # where narrower ranges begin
 KEY = ["k"]
 
 

@@ -9,7 +9,7 @@ from epochal.functions.expressions import Binary, Ident, Lit
 from epochal.operators import appends, derived, reads
 from epochal.operators.derived import Base, Lazy, Scope
 from epochal.plans.queries import problems
-from epochal.plans.queries.facts import KEY, SQL_STEPS, WIDTH, E, S, events_as, micros, sql_aligned, sql_events, sql_merge, steps
+from epochal.plans.queries.facts import KEY, SQL_STEPS, E, S, events_as, micros, sql_aligned, sql_events, sql_merge, steps
 from epochal.runtime import cut_lineage, scratch
 from epochal.sources import text
 from epochal.sources.tables import table
@@ -20,7 +20,7 @@ TWICE = Binary("*", Ident("a"), Lit(2))
 
 def _refresh(facts: DataFrame, layer: int) -> DataFrame:
     """The view computed over ``facts`` as one stored layer."""
-    found = derived.range_expr(Scope({"a": Base(facts)}, KEY, WIDTH), TWICE, S, E)
+    found = derived.range_expr(Scope({"a": Base(facts)}, KEY), TWICE, S, E)
     return cut_lineage(found.select("k", F.lit(layer).cast("long").alias("layer_id"), F.col("start").alias("lo"), F.col("end").alias("hi"), "value"))
 
 
@@ -29,7 +29,7 @@ def _ranged(facts: str) -> str:
 
 
 def xderive_equals_derive(spark: SparkSession, d: str) -> DataFrame:
-    return reads.range_(_refresh(events_as(spark, d, "evi"), 0), KEY, S, E, WIDTH)
+    return reads.range_(_refresh(events_as(spark, d, "evi"), 0), KEY, S, E)
 
 
 _EARLY = "layer_id % 3 <> 0"
@@ -39,12 +39,12 @@ def xderive_after_correction(spark: SparkSession, d: str) -> DataFrame:
     """A view of part of the layers, refreshed once the others have arrived."""
     facts = events_as(spark, d, "evi")
     views = _refresh(facts.where(_EARLY), 0).unionAll(_refresh(facts, 1))
-    return reads.range_(views, KEY, S, E, WIDTH)
+    return reads.range_(views, KEY, S, E)
 
 
 def derive_of_view(spark: SparkSession, d: str) -> DataFrame:
     """A lazy lens over a stored view."""
-    scope = Scope({"m": Base(_refresh(events_as(spark, d, "evi"), 0)), "out": Lazy(Binary("+", Ident("m"), Lit(1)))}, KEY, WIDTH)
+    scope = Scope({"m": Base(_refresh(events_as(spark, d, "evi"), 0)), "out": Lazy(Binary("+", Ident("m"), Lit(1)))}, KEY)
     return derived.range_expr(scope, Ident("out"), S, E)
 
 
@@ -61,12 +61,12 @@ def csv_copy(spark: SparkSession, d: str) -> DataFrame:
 def append_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Users whose events, taken as one layer, would overlap and be rejected."""
     one = events_as(spark, d, "ev24").withColumn("layer_id", F.lit(1).cast("long"))
-    return appends.overlapping(one, KEY, WIDTH).select("k").distinct()
+    return appends.overlapping(one, KEY).select("k").distinct()
 
 
 def append_steps_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """The same for facts that only touch: none."""
-    return appends.overlapping(steps(spark, d), KEY, WIDTH).select("k").distinct()
+    return appends.overlapping(steps(spark, d), KEY).select("k").distinct()
 
 
 def stream_late_counters(spark: SparkSession, d: str) -> DataFrame:

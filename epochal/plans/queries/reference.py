@@ -9,7 +9,7 @@ from epochal.functions.expressions import Binary, Ident, Lit, Rolling, Unary
 from epochal.operators import compaction, derived, reads
 from epochal.operators.derived import Base, Lazy, Scope
 from epochal.plans.queries.facts import (
-    HOUR, KEY, SQL_GRID, SQL_ORDERS, SQL_STEPS, T0, WIDTH, E, S,
+    HOUR, KEY, SQL_GRID, SQL_ORDERS, SQL_STEPS, MID, T0, E, S,
     events_as, grid, orders_as, sql_aligned, sql_clip, sql_events, sql_grid_of, sql_merge, sql_pieces, sql_range, steps,
 )
 
@@ -50,7 +50,7 @@ def at_miss_nil(spark: SparkSession, d: str) -> DataFrame:
 SELECT p.k, p.t, arg_max_null(value, layer_id) AS value FROM p JOIN f ON p.k = f.k AND lo <= t AND t < hi GROUP BY ALL""")
 def at_many_points(spark: SparkSession, d: str) -> DataFrame:
     points = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_custkey") % 150).alias("k"), (T0 + (F.col("o_orderkey") % 720) * HOUR).alias("t"))
-    return reads.at_points(events_as(spark, d, "ev24"), points, KEY, WIDTH)
+    return reads.at_points(events_as(spark, d, "ev24"), points, KEY)
 
 
 @query(f"""WITH f AS ({sql_events("ev24")}), p AS (SELECT DISTINCT o_custkey % 150 AS k, {T0} + (o_orderkey % 720) * {HOUR} AS t, o_orderkey % 100 AS w FROM orders)
@@ -58,7 +58,7 @@ SELECT p.k, p.t, p.w, arg_max_null(value, layer_id) AS value FROM p JOIN f ON p.
 def at_many_points_as_of(spark: SparkSession, d: str) -> DataFrame:
     orders = spark.read.parquet(f"{d}/orders.parquet")
     points = orders.select((F.col("o_custkey") % 150).alias("k"), (T0 + (F.col("o_orderkey") % 720) * HOUR).alias("t"), (F.col("o_orderkey") % 100).alias("w"))
-    return reads.at_points(events_as(spark, d, "ev24"), points, KEY, WIDTH, written="w")
+    return reads.at_points(events_as(spark, d, "ev24"), points, KEY, "w")
 
 
 @query(_one(sql_events("ev24"), f"lo <= {T} AND hi > {T} AND written_at <= {W}"))
@@ -96,60 +96,60 @@ def at_nd_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql_range(sql_events("ev24")))
 def range_base(spark: SparkSession, d: str) -> DataFrame:
-    return reads.range_(events_as(spark, d, "ev24"), KEY, S, E, WIDTH)
+    return reads.range_(events_as(spark, d, "ev24"), KEY, S, E)
 
 
 @query(sql_range(sql_events("evb")))
 def range_merged(spark: SparkSession, d: str) -> DataFrame:
-    return reads.range_(events_as(spark, d, "evb"), KEY, S, E, WIDTH)
+    return reads.range_(events_as(spark, d, "evb"), KEY, S, E)
 
 
 @query(sql_range(sql_events("evs", "event_type")))
 def range_skewed_keys(spark: SparkSession, d: str) -> DataFrame:
-    return reads.range_(events_as(spark, d, "evs", "event_type"), KEY, S, E, HOUR)
+    return reads.range_(events_as(spark, d, "evs", "event_type"), KEY, S, E)
 
 
-@query(sql_range(sql_events("evn"), S + HOUR, S + 30 * HOUR))
+@query(sql_range(sql_events("evn"), MID + HOUR, MID + 30 * HOUR))
 def range_clipped(spark: SparkSession, d: str) -> DataFrame:
-    return reads.range_(events_as(spark, d, "evn"), KEY, S + HOUR, S + 30 * HOUR, WIDTH)
+    return reads.range_(events_as(spark, d, "evn"), KEY, MID + HOUR, MID + 30 * HOUR)
 
 
 @query(sql_range(sql_events("ev6")))
 def range_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return reads.range_(events_as(spark, d, "ev6"), KEY, S, E, WIDTH)
+    return reads.range_(events_as(spark, d, "ev6"), KEY, S, E)
 
 
 @query(sql_range(SQL_STEPS))
 def range_steps(spark: SparkSession, d: str) -> DataFrame:
-    return reads.range_(steps(spark, d), KEY, S, E, WIDTH)
+    return reads.range_(steps(spark, d), KEY, S, E)
 
 
-@query(sql_range(SQL_ORDERS, 9500, 11000))
+@query(sql_range(SQL_ORDERS, 9000, 12000))
 def range_orders(spark: SparkSession, d: str) -> DataFrame:
-    return reads.range_(orders_as(spark, d), KEY, 9500, 11000, 90)
+    return reads.range_(orders_as(spark, d), KEY, 9000, 12000)
 
 
 @query(sql_range(f"SELECT * FROM ({sql_events('ev24')}) WHERE written_at <= {W}"))
 def range_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return reads.range_(events_as(spark, d, "ev24"), KEY, S, E, WIDTH, written=W)
+    return reads.range_(events_as(spark, d, "ev24"), KEY, S, E, written=W)
 
 
 @query(sql_range(sql_events("ev24")) + ' ORDER BY k, start LIMIT 50 OFFSET 20')
 def range_limit_offset(spark: SparkSession, d: str) -> DataFrame:
-    return reads.page(reads.range_(events_as(spark, d, "ev24"), KEY, S, E, WIDTH), KEY, 50, 20)
+    return reads.page(reads.range_(events_as(spark, d, "ev24"), KEY, S, E), KEY, 50, 20)
 
 
 @query(f"WITH {sql_pieces(f'SELECT * FROM ({SQL_GRID}) WHERE x0 <= 7 AND x1 > 7')}, {sql_merge('el')} SELECT start, \"end\", value FROM mg")
 def range_nd_fixed(spark: SparkSession, d: str) -> DataFrame:
-    return reads.range_(grid(spark, d), [], S, E, WIDTH, coordinates=[7])
+    return reads.range_(grid(spark, d), [], S, E, coordinates=[7])
 
 
-CUT = S + 100 * HOUR  # now minus the time to live
+CUT = MID + 100 * HOUR  # now minus the time to live
 
 
 @query(sql_range(sql_events("ev24"), CUT, E))
 def range_ttl(spark: SparkSession, d: str) -> DataFrame:
-    return reads.range_(events_as(spark, d, "ev24"), KEY, S, E, WIDTH, keep_from=CUT)
+    return reads.range_(events_as(spark, d, "ev24"), KEY, S, E, keep_from=CUT)
 
 
 @query(_one(sql_events("ev24"), f"lo <= {T} AND hi > {T} AND {T} >= {T + 1}"))
@@ -162,7 +162,7 @@ def _where(scope: Scope, test) -> DataFrame:
 
 
 def _scope(spark: SparkSession, d: str, **names: str) -> Scope:
-    return Scope({n: Base(events_as(spark, d, f)) for n, f in names.items()}, KEY, WIDTH)
+    return Scope({n: Base(events_as(spark, d, f)) for n, f in names.items()}, KEY)
 
 
 def _ranged(lenses: dict[str, str], value: str, test: str = "true") -> str:
@@ -194,37 +194,37 @@ def rounded(df: DataFrame) -> DataFrame:
 
 @query(_reduced(sql_events("ev24"), None, None))
 def reduce_all(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(reads.reduce_(events_as(spark, d, "ev24"), KEY, None, None, width=WIDTH))
+    return rounded(reads.reduce_(events_as(spark, d, "ev24"), KEY, None, None))
 
 
 @query(_reduced(sql_events("ev24")))
 def reduce_range(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(reads.reduce_(events_as(spark, d, "ev24"), KEY, S, E, width=WIDTH))
+    return rounded(reads.reduce_(events_as(spark, d, "ev24"), KEY, S, E))
 
 
 @query(_reduced(sql_events("evn"), what='CAST(count(*) AS BIGINT) AS "count"'))
 def reduce_count(spark: SparkSession, d: str) -> DataFrame:
-    return reads.reduce_(events_as(spark, d, "evn"), KEY, S, E, ("count",), WIDTH)
+    return reads.reduce_(events_as(spark, d, "evn"), KEY, S, E, ("count",))
 
 
 @query(_reduced(sql_events("evi"), what='CAST(sum(value) AS BIGINT) AS "sum"'))
 def reduce_sum(spark: SparkSession, d: str) -> DataFrame:
-    return reads.reduce_(events_as(spark, d, "evi"), KEY, S, E, ("sum",), WIDTH)
+    return reads.reduce_(events_as(spark, d, "evi"), KEY, S, E, ("sum",))
 
 
 @query(_reduced(sql_events("evi"), what='round(sum(value * ("end" - start)) / sum("end" - start), 4) AS "avg"'))
 def reduce_avg(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(reads.reduce_(events_as(spark, d, "evi"), KEY, S, E, ("avg",), WIDTH))
+    return rounded(reads.reduce_(events_as(spark, d, "evi"), KEY, S, E, ("avg",)))
 
 
 @query(_reduced(sql_events("evi"), what='min(value) AS "min"'))
 def reduce_min(spark: SparkSession, d: str) -> DataFrame:
-    return reads.reduce_(events_as(spark, d, "evi"), KEY, S, E, ("min",), WIDTH)
+    return reads.reduce_(events_as(spark, d, "evi"), KEY, S, E, ("min",))
 
 
 @query(_reduced(sql_events("evi"), what='max(value) AS "max"'))
 def reduce_max(spark: SparkSession, d: str) -> DataFrame:
-    return reads.reduce_(events_as(spark, d, "evi"), KEY, S, E, ("max",), WIDTH)
+    return reads.reduce_(events_as(spark, d, "evi"), KEY, S, E, ("max",))
 
 
 BIG = 4_611_686_018_427_387_904  # 2^62: four of them wrap to zero
@@ -238,12 +238,12 @@ def reduce_sum_int_wrap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_reduced(sql_events("ev24", "event_type")))
 def reduce_skewed_keys(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(reads.reduce_(events_as(spark, d, "ev24", "event_type"), KEY, S, E, width=HOUR))
+    return rounded(reads.reduce_(events_as(spark, d, "ev24", "event_type"), KEY, S, E))
 
 
 @query(_reduced(sql_events("ev24"), CUT, E))
 def reduce_ttl(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(reads.reduce_(events_as(spark, d, "ev24"), KEY, S, E, width=WIDTH, keep_from=CUT))
+    return rounded(reads.reduce_(events_as(spark, d, "ev24"), KEY, S, E, keep_from=CUT))
 
 
 _TWICE = "SELECT k, layer_id * 2 AS layer_id, written_at, lo, hi, 1.5 AS value FROM ({0}) UNION ALL SELECT k, layer_id * 2 + 1, written_at, lo - {1}, hi + {1}, 1.5 FROM ({0})"
@@ -255,7 +255,7 @@ def reduce_occluded_boundary(spark: SparkSession, d: str) -> DataFrame:
     old = events_as(spark, d, "ev6").withColumn("value", F.lit(1.5))
     new = old.select("k", (F.col("layer_id") * 2 + 1).alias("layer_id"), "written_at", (F.col("lo") - HOUR).alias("lo"), (F.col("hi") + HOUR).alias("hi"), "value")
     both = old.withColumn("layer_id", F.col("layer_id") * 2).unionByName(new)
-    return rounded(reads.reduce_(both, KEY, S, E, ("count", "sum"), WIDTH))
+    return rounded(reads.reduce_(both, KEY, S, E, ("count", "sum")))
 
 
 # History
@@ -276,9 +276,9 @@ def history_all(spark: SparkSession, d: str) -> DataFrame:
     return reads.history(_layers(spark, d), [])
 
 
-@query(f"{_HISTORY} HAVING max(hi) > {S} AND min(lo) < {S + HOUR}")
+@query(f"{_HISTORY} HAVING max(hi) > {MID} AND min(lo) < {MID + HOUR}")
 def history_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return reads.history(_layers(spark, d), [], S, S + HOUR)
+    return reads.history(_layers(spark, d), [], MID, MID + HOUR)
 
 
 @query("""WITH f AS (SELECT lens, layer_id AS id, written_at, lo, hi FROM facts)
@@ -337,7 +337,7 @@ def derive_over(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT CAST({S} AS BIGINT) AS start, CAST({E} AS BIGINT) AS \"end\", CAST(7 AS BIGINT) AS value")
 def derive_literal(spark: SparkSession, d: str) -> DataFrame:
-    return derived.range_expr(Scope({"out": Lazy(Lit(7))}, [], WIDTH), Ident("out"), S, E)
+    return derived.range_expr(Scope({"out": Lazy(Lit(7))}, []), Ident("out"), S, E)
 
 
 @query(_ranged({"a": "evi"}, "(a - 100) // 7 * 10 + (a - 100) % 7"))
@@ -455,12 +455,12 @@ def _generations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql_range(_GENERATIONS))
 def compact_1d_preserves_range(spark: SparkSession, d: str) -> DataFrame:
-    return reads.range_(compaction.compact(_generations(spark, d), KEY, WIDTH), KEY, S, E, WIDTH)
+    return reads.range_(compaction.compact(_generations(spark, d), KEY), KEY, S, E)
 
 
 @query(sql_range(f"SELECT * FROM ({_GENERATIONS}) WHERE written_at <= 9"))
 def compact_1d_preserves_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return reads.range_(compaction.compact(_generations(spark, d), KEY, WIDTH), KEY, S, E, WIDTH, written=9)
+    return reads.range_(compaction.compact(_generations(spark, d), KEY), KEY, S, E, written=9)
 
 
 @query(f"SELECT arg_max_null(value, layer_id) AS value FROM ({SQL_GRID}) WHERE {_box(T, 7)} HAVING count(*) > 0")

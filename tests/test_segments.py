@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+
 from tests.conftest import rows
 
 from tests import oracle
-from epochal.operators import compaction, reads
+from epochal.operators import appends, compaction, reads, sweep
 from epochal.operators.segments import elementary
 
 SCHEMA = "k int, layer_id long, written_at long, lo long, hi long, value long"
@@ -22,21 +24,21 @@ def by_key(df, *columns):
 
 
 def test_range_is_brute_force(spark):
-    for width in (None, 7, 1000):
-        got = by_key(reads.range_(facts(spark), ["k"], 10, 150, width), "start", "end", "value")
+    for piece in (None, 5, 40):
+        got = by_key(reads.range_(facts(spark), ["k"], 10, 150, piece=piece), "start", "end", "value")
         assert got == {k: oracle.merge(oracle.segments(f, 10, 150)) for k, f in CASES.items()}
 
 
 def test_unkeyed_range(spark):
     one = facts(spark).where("k = 3").drop("k")
-    assert rows(reads.range_(one, [], 0, 500, 5)) == oracle.merge(oracle.segments(CASES[3], 0, 500))
+    assert rows(reads.range_(one, [], 0, 500, piece=7)) == oracle.merge(oracle.segments(CASES[3], 0, 500))
 
 
 def test_as_of_and_points(spark):
-    got = by_key(reads.range_(facts(spark), ["k"], 0, 300, 16, written=2), "start", "end", "value")
+    got = by_key(reads.range_(facts(spark), ["k"], 0, 300, written=2), "start", "end", "value")
     assert got == {k: oracle.merge(oracle.segments(f, 0, 300, 2)) for k, f in CASES.items()}
     points = spark.createDataFrame([(k, t, w) for k in CASES for t in range(0, 200, 7) for w in (0, 3)], "k int, t long, w long")
-    got = {r[:3]: r[3] for r in rows(reads.at_points(facts(spark), points, ["k"], 9, "w"), "k", "t", "w", "value")}
+    got = {r[:3]: r[3] for r in rows(reads.at_points(facts(spark), points, ["k"], "w"), "k", "t", "w", "value")}
     want = {(k, t, w): oracle.at(f, t, w)[1] for k, f in CASES.items() for t in range(0, 200, 7) for w in (0, 3) if oracle.at(f, t, w)[0]}
     assert got == want
 
@@ -44,7 +46,7 @@ def test_as_of_and_points(spark):
 def test_reduce_counts_every_boundary(spark):
     held = facts(spark).where("value is not null")
     cases = {k: [f for f in fs if f[4] is not None] for k, fs in CASES.items()}
-    got = {r["k"]: r for r in reads.reduce_(held, ["k"], 5, 120, width=6).collect()}
+    got = {r["k"]: r for r in reads.reduce_(held, ["k"], 5, 120, piece=6).collect()}
     for k, fs in cases.items():
         found = oracle.segments(fs, 5, 120)
         if not found:
@@ -58,17 +60,55 @@ def test_reduce_counts_every_boundary(spark):
 
 
 def test_elementary_marks_cuts(spark):
-    one = spark.createDataFrame([(1, 0, 100, 5)], "layer_id long, lo long, hi long, value long")
-    found = elementary(one, [], width=30)
-    assert [(r.start, r.end, r.split) for r in found.orderBy("start").collect()] == [(0, 30, True), (30, 60, False), (60, 90, False), (90, 100, False)]
+    held = [(1, 0, 100, 5)] + [(2, 10 * i, 10 * i + 10, i) for i in range(20)]
+    one = spark.createDataFrame(held, "layer_id long, lo long, hi long, value long")
+    for piece in (None, 4, 9):
+        found = elementary(one, [], piece=piece).orderBy("start").collect()
+        assert [r.start for r in found if r.split] == [10 * i for i in range(20)]
+        assert all(a.end == b.start for a, b in zip(found, found[1:])) and found[-1].end == 200
+
+
+def test_open_facts_and_points(spark):
+    """Facts that never end, in a series that is cut."""
+    rng = random.Random(4)
+    held = [(i, 0, lo, (1 << 63) - 1 if i % 9 == 0 else lo + rng.randint(1, 40), i) for i in range(300) for lo in [rng.randint(0, 2000)]]
+    df = spark.createDataFrame(held, SCHEMA.removeprefix("k int, "))
+    want = oracle.merge(oracle.segments(held, 0, 3000))
+    for piece in (None, 20, 150):
+        assert rows(reads.range_(df, [], 0, 3000, piece=piece)) == want
+        points = spark.createDataFrame([(t,) for t in range(0, 2500, 13)] * 2, "t long")
+        got = dict(rows(reads.at_points(df, points, [], piece=piece)))
+        assert got == {t: oracle.at(held, t)[1] for t in range(0, 2500, 13) if oracle.at(held, t)[0]}
+
+
+def test_overlaps_of_a_layer(spark):
+    held = [("a", 1, 0, 10), ("a", 1, 10, 20), ("a", 2, 0, 10), ("b", 1, 0, 1000), ("b", 1, 5, 6)] + [("c", 1, i, i + 1) for i in range(50)] + [("d", 1, i, i + 2) for i in range(50)]
+    df = spark.createDataFrame(held, "k string, layer_id long, lo long, hi long")
+    for piece in (None, 10):
+        assert {tuple(r) for r in appends.overlapping(df, ["k"], piece).select("k", "layer_id").distinct().collect()} == {("b", 1), ("d", 1)}
+
+
+def test_sums_over_runs():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-50, 50, 300)
+    a = rng.integers(0, 300, 500)
+    b = np.minimum(300, a + rng.integers(0, 90, 500))
+    assert list(sweep.range_sum(x, a, b)) == [int(x[i:j].sum()) for i, j in zip(a, b)]
+    some = b > a
+    assert list(sweep.range_best(x, a[some], b[some])) == [int(x[i:j].max()) for i, j in zip(a[some], b[some])]
+    painted = sweep.paint(300, a[some], b[some], np.arange(some.sum()))
+    want = [-1] * 300
+    for k, (i, j) in enumerate(zip(a[some], b[some])):
+        want[i:j] = [k] * (j - i)
+    assert list(painted) == want
 
 
 def test_compaction_preserves_reads(spark):
     small = compaction.compact(facts(spark), ["k"])
     assert small.count() < facts(spark).count()
     for written in (None, 1):
-        a = reads.range_(small, ["k"], 0, 400, 20, written=written)
-        b = reads.range_(facts(spark), ["k"], 0, 400, 20, written=written)
+        a = reads.range_(small, ["k"], 0, 400, written=written)
+        b = reads.range_(facts(spark), ["k"], 0, 400, written=written)
         assert rows(a) == rows(b)
 
 
@@ -109,4 +149,4 @@ def test_empty_and_void(spark):
 
 def test_null_keys_form_a_series(spark):
     df = spark.createDataFrame([(None, 1, 0, 10, 1), (None, 2, 5, 15, 2), ("a", 1, 0, 4, 7)], "k string, layer_id long, lo long, hi long, value long")
-    assert rows(reads.range_(df, ["k"], 0, 20, 4)) == [("a", 0, 4, 7), (None, 0, 5, 1), (None, 5, 15, 2)]
+    assert rows(reads.range_(df, ["k"], 0, 20, piece=1)) == [("a", 0, 4, 7), (None, 0, 5, 1), (None, 5, 15, 2)]
