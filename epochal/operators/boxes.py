@@ -15,10 +15,10 @@ BOXES = 1 << 10  # boxes of one series and time that one task sweeps at once
 LEAF = 32  # boxes that are compared with one another
 
 
-def parted(facts: DataFrame, keys: list[str], lo: str, hi: str, name: str, piece: int | None = None):
+def parted(facts: DataFrame, keys: list[str], lo: str, hi: str, name: str, piece: int | None = None, long: bool = True):
     """facts with ``name``, the piece of [lo, hi) along one axis of their series, once per piece that they touch; and the cuts."""
     bare = facts.select(*keys, F.col(lo).alias("lo"), F.col(hi).alias("hi"))
-    found = segments.cuts(segments._laid([Part(bare, Leaf("depth"))], keys), piece or BOXES)
+    found = segments.cuts(segments._laid([Part(bare, Leaf("depth"))], keys), piece or BOXES) if long else {}
     if not found:
         return facts.withColumn(name, F.lit(0)), None
     edges = facts.sparkSession.sparkContext.broadcast(found)
@@ -26,9 +26,9 @@ def parted(facts: DataFrame, keys: list[str], lo: str, hi: str, name: str, piece
     return facts.withColumn(name, F.explode(F.sequence(number(h, F.col(lo)), number(h, F.col(hi) - 1)))), edges
 
 
-def in_time(facts: DataFrame, keys: list[str], piece: int | None = None):
+def in_time(facts: DataFrame, keys: list[str], piece: int | None = None, long: bool = True):
     """facts with _h and _b (series and piece of time), laid out by these; and the cuts."""
-    placed, edges = parted(facts, keys, "lo", "hi", "_b", piece)
+    placed, edges = parted(facts, keys, "lo", "hi", "_b", piece, long)
     hashed = placed.withColumn("_h", segments._hash(keys))
     return hashed.repartition("_h", "_b").sortWithinPartitions("_h", "_b", *keys), edges
 
@@ -59,22 +59,41 @@ def newest_boxes(rows: list[dict], start: int = LOW, end: int = HIGH) -> list[tu
     return out
 
 
-def _same(a, b) -> bool:
-    return type(a) is type(b) and (a == b or a != a and b != b)
-
-
 def _token(value):
     """A value under which equal values are found in a dictionary; NaN is equal to itself."""
     return (type(value).__name__, "nan" if value != value else value)
 
 
+def _line(rows: list[tuple], axis: int) -> list[tuple]:
+    """((span,), (token, value)) of what is newest along the last axis, touching equal spans joined."""
+    from heapq import heappop, heappush
+
+    begins = sorted(range(len(rows)), key=lambda n: rows[n][0][axis][0])
+    times = sorted({t for spans, *_ in rows for t in spans[axis]})
+    heap, out, k = [], [], 0
+    for at, to in zip(times, times[1:]):
+        while k < len(begins) and rows[begins[k]][0][axis][0] <= at:
+            n = begins[k]
+            heappush(heap, (-(LOW if rows[n][1] is None else rows[n][1]), n))
+            k += 1
+        while heap and rows[heap[0][1]][0][axis][1] <= at:
+            heappop(heap)
+        if heap:
+            value = rows[heap[0][1]][2]
+            token = _token(value)
+            if out and out[-1][0][1] == at and out[-1][1] == token:
+                out[-1][0][1] = to
+            else:
+                out.append(([at, to], token, value))
+    return [((tuple(span),), (token, value)) for span, token, value in out]
+
+
 def _layout(rows: list[tuple], axis: int) -> list[tuple]:
     """((span of each axis from ``axis`` on...), (token, value)) of what is newest; disjoint."""
-    if axis == len(rows[0][0]) if rows else True:
-        if not rows:
-            return []
-        top = max(rows, key=lambda r: (r[1] is not None, r[1] or 0))
-        return [((), (_token(top[2]), top[2]))]
+    if not rows:
+        return []
+    if axis + 1 == len(rows[0][0]):
+        return _line(rows, axis)
     events: dict[int, tuple[list, list]] = {}
     for n, (spans, *_) in enumerate(rows):
         lo, hi = spans[axis]

@@ -49,7 +49,7 @@ def compact(facts: DataFrame, keys: list[str], piece: int | None = None) -> Data
     """
     held = generations(facts, keys)
     by = [*keys, "generation", "written_at"]
-    whole = segments.newest_wins(held, by, piece=piece)
+    whole = segments.newest_wins(held, by, piece=piece, long=segments.any_long(facts, keys, piece))
     return whole.select(*keys, F.col("generation").alias("layer_id"), "written_at", F.col("start").alias("lo"), F.col("end").alias("hi"), "value")
 
 
@@ -63,7 +63,7 @@ def compact_boxes(facts: DataFrame, keys: list[str], piece: int | None = None) -
     held = generations(facts, keys).where("lo < hi")
     cols = [*by, "layer_id", "lo", "hi", "axes", "value"]
     schema = held.select(*keys, F.col("generation").alias("layer_id"), "written_at", "lo", "hi", "axes", "value").schema
-    placed, edges = boxes.in_time(held.select(*cols), by, piece)
+    placed, edges = boxes.in_time(held.select(*cols), by, piece, segments.any_long(facts, keys, piece or boxes.BOXES))
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -63,16 +63,21 @@ COUNTS = ["on_time", "late", "too_late", "undated"]
 TOTALS = ["total", "total_on_time"]
 
 
+def sequence() -> Column:
+    """The version of a delivery as a sequence that is highest for the first delivery; a null is lowest."""
+    return F.struct(*[F.when(F.col(v).isNotNull(), -F.col(v)).alias(v) for v in VERSION])
+
+
 def merge(held: DataFrame) -> DataFrame:
-    """Slots of any number of deliveries, repeated or out of order, merged per source.
+    """Slots of any number of deliveries, repeated or out of order, merged per source by maximum.
 
-    Per source the highest-ranking version stays (the lowest batch, then delivery; nulls
-    rank last); its slots are taken once each however often they were delivered.
+    Per source the maximum of the version's sequence is taken (of the lowest batch, then delivery; nulls
+    rank last), and its slots stay, once each however often they were delivered: the maximum of each counter.
     A source with a null in its key is unknown and kept as it is.
     """
-    version = F.struct(*[c for v in VERSION for c in (F.col(v).isNull().alias(f"{v}_null"), F.col(v).alias(v))])
     unknown = F.col("db").isNull() | F.col("layer_id").isNull()
-    ranked = held.withColumn("best", F.min(version).over(Window.partitionBy(*SOURCE))).where(unknown | (F.col("best") == version))
+    highest = F.max("_seq").over(Window.partitionBy(*SOURCE))
+    ranked = held.withColumn("_seq", sequence()).withColumn("_top", highest).where(unknown | (F.col("_top") == F.col("_seq")))
     keys = ["db", "lens", "day", "layer_id", *VERSION]
     return ranked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in COUNTS + TOTALS])
 

@@ -170,16 +170,17 @@ def _spread(laid: DataFrame, parts: list[Part], keys: list[str], edges) -> DataF
     return out if every is None else out.unionAll(every)
 
 
-def cells(parts: list[Part], keys: list[str], spec: dict, piece: int | None = None) -> tuple[DataFrame, bool]:
+def cells(parts: list[Part], keys: list[str], spec: dict, piece: int | None = None, long: bool = True) -> tuple[DataFrame, bool]:
     """The cells of a sweep, and whether any series was cut. spec: the other fields of Sweep.
 
     Columns: keys, _h, _b, start, end, split, _edge, and per leaf p0, x0 (and bad0 for rolling ones).
     Rows of one series and piece lie together, in order. One shuffle of the rows of all parts.
+    long = false: it is known that no series is longer than a piece.
     """
     piece = piece or PIECE
     laid = _laid(parts, keys)
     names = inner_names(keys)
-    found = cuts(laid, piece)
+    found = cuts(laid, piece) if long else {}
     edges = laid.sparkSession.sparkContext.broadcast(found) if found else None  # eight bytes per piece
     rows = _spread(laid, parts, names, edges)
     by = ["_h", "_b", *names]
@@ -213,6 +214,11 @@ def cells(parts: list[Part], keys: list[str], spec: dict, piece: int | None = No
     return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *[f.name for f in fields[len(keys) :]]), bool(found)
 
 
+def any_long(facts: DataFrame, keys: list[str], piece: int | None = None) -> bool:
+    """Whether some series has more rows than a piece."""
+    return not facts.groupBy(*keys).count().where(F.col("count") > (piece or PIECE)).isEmpty()
+
+
 def _islands(rows: DataFrame, keys: list[str], joined: Column, aggregates: list[Column]) -> DataFrame:
     """Rows that touch a cut, joined over it; all others are islands of their own.
 
@@ -245,13 +251,13 @@ def elementary(facts: DataFrame, keys: list[str], start: int | None = None, end:
     return found.select(*keys, "start", "end", "split", F.col("x0").alias("value"))
 
 
-def newest_wins(facts: DataFrame, keys: list[str], start: int | None = None, end: int | None = None, piece: int | None = None) -> DataFrame:
+def newest_wins(facts: DataFrame, keys: list[str], start: int | None = None, end: int | None = None, piece: int | None = None, long: bool = True) -> DataFrame:
     """Maximal newest-wins segments: keys, start, end, value; the same as merging :func:`elementary`.
 
     Equality counts null as a value and is exact for every type.
     """
     clipped = clip(facts.select(*keys, "layer_id", "lo", "hi", "value"), start, end)
-    found, cut = cells([Part(clipped)], keys, {"start": start, "end": end, "merge": True}, piece)
+    found, cut = cells([Part(clipped)], keys, {"start": start, "end": end, "merge": True}, piece, long)
     rows = found.withColumnRenamed("x0", "value")
     return _over_cuts(rows, keys) if cut else rows.select(*keys, "start", "end", "value")
 

@@ -1,20 +1,23 @@
 """Rolling totals over trailing periods, by block decomposition.
 
 Time is cut into blocks as long as the window. Inside a block, prefix and suffix sums
-are built; the total of the window that ends on a day is the prefix up to that day plus
-the suffix of the block before. No task ever holds more than one block of one series.
+are built, each in one cumulative pass; the total of the window that ends on a day is the
+prefix up to that day plus the suffix of the block before, from the day after the one a
+window's length ago. Days are laid out in spans of whole blocks of every window, each with the days
+of a window before it, so that one shuffle serves all windows and a long series spreads over many tasks.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epochal.runtime import DAY, floor_div
 
 LOWEST = -(1 << 63)
+SPAN = 1024  # days of a span at least
 
 
 def newest(facts: DataFrame, keys: list[str], value: str = "value", layer: str = "layer_id") -> DataFrame:
@@ -40,32 +43,11 @@ def daily(facts: DataFrame, series: list[str], at: str, value: str, period: int
     )
 
 
-def _block_sums(days: DataFrame, series: list[str], width: int) -> DataFrame:
-    """For every day that a block touches: its share (sum and count) of the trailing window of ``width`` days."""
-    block = floor_div("day", width).alias("block")
-    entry = F.struct(F.pmod(F.col("day"), F.lit(width)).cast("int").alias("i"), "total", "n_values")
-    blocks = days.groupBy(*series, block).agg(F.collect_list(entry).alias("e"))  # at most `width` entries
-
-    def pick(i: Column, field: str, after: bool) -> Column:
-        side = F.filter("e", lambda x: (x["i"] > i) if after else (x["i"] <= i))
-        zero = F.lit(0.0) if field == "total" else F.lit(0).cast("long")
-        return F.aggregate(side, zero, lambda acc, x: acc + x[field])
-
-    steps = F.sequence(F.lit(0), F.lit(width - 1))
-    shares = blocks.select(
-        *series,
-        F.explode(
-            F.flatten(
-                F.array(
-                    # prefix: the window ends inside this block
-                    F.transform(steps, lambda i: F.struct((F.col("block") * width + i).alias("day"), pick(i, "total", False).alias("t"), pick(i, "n_values", False).alias("c"))),
-                    # suffix: the window ends in the next block, at position i, and begins after position i of this one
-                    F.transform(steps, lambda i: F.struct(((F.col("block") + 1) * width + i).alias("day"), pick(i, "total", True).alias("t"), pick(i, "n_values", True).alias("c"))),
-                )
-            )
-        ).alias("s"),
-    )
-    return shares.select(*series, "s.day", "s.t", "s.c")
+def span_of(widths: list[int]) -> int:
+    """Days of a span: at least SPAN and four windows, and whole blocks of every width where that stays near it."""
+    least = max(SPAN, 4 * max(widths))
+    whole = math.lcm(*widths)
+    return -(-least // whole) * whole if whole <= least else least
 
 
 def trailing_totals(days: DataFrame, series: list[str], widths: list[int]) -> DataFrame:
@@ -76,26 +58,38 @@ def trailing_totals(days: DataFrame, series: list[str], widths: list[int]) -> Da
     total_w, values_w and average_w (per day of the window, inactive days counting zero).
     Days without activity are in the result. Null series values form a series of their own.
     """
+    widest, span = max(widths), span_of(widths)
     spans = days.groupBy(*series).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
-    grid = spans.select(*series, "first_day", F.explode(F.sequence("first_day", "last_day")).alias("day"))
-    none = {f"{k}_{w}": F.lit(None) for w in widths for k in "tc"}
-
-    def part(df: DataFrame, first: Column, active: Column, own: dict[str, Column]) -> DataFrame:
-        cols = none | own
-        return df.select(*series, "day", first.cast("long").alias("first_day"), active.cast("long").alias("active"), *[cols[f"t_{w}"].cast("double").alias(f"t_{w}") for w in widths], *[cols[f"c_{w}"].cast("long").alias(f"c_{w}") for w in widths])
-
-    null = F.lit(None)
-    parts = [part(grid, F.col("first_day"), null, {}), part(days, null, F.col("n"), {})]
-    parts += [part(_block_sums(days, series, w), null, null, {f"t_{w}": F.col("t"), f"c_{w}": F.col("c")}) for w in widths]
-    every = reduce(DataFrame.unionAll, parts)
-    summed = every.groupBy(*series, "day").agg(
-        F.max("first_day").alias("first_day"),
-        F.coalesce(F.sum("active"), F.lit(0)).alias("active"),
-        *[F.coalesce(F.sum(f"t_{w}"), F.lit(0.0)).alias(f"total_{w}") for w in widths],
-        *[F.coalesce(F.sum(f"c_{w}"), F.lit(0)).alias(f"values_{w}") for w in widths],
+    boxes = spans.select(*series, "first_day", "last_day", F.explode(F.sequence(floor_div("first_day", span), floor_div("last_day", span))).alias("_s"))
+    # laid out from a window before the span, or before the series' first day
+    begin, end = F.col("_s") * span, (F.col("_s") + 1) * span - 1
+    grid = boxes.select(*series, "_s", "first_day", F.explode(F.sequence(F.greatest(begin, F.col("first_day")) - widest, F.least(end, F.col("last_day")))).alias("day"))
+    # a day belongs to its span and, within a window of the next one's begin, to that one too
+    own = floor_div("day", span)
+    held = days.withColumn("_s", F.explode(F.array_distinct(F.array(own, floor_div(F.col("day") + widest, span)))))
+    none = F.lit(None).cast("long")
+    both = grid.select(*series, "_s", "day", "first_day", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("v"), F.lit(0.0).alias("t")).unionAll(
+        held.select(*series, "_s", "day", none.alias("first_day"), "n", F.col("n_values").alias("v"), F.col("total").alias("t"))
     )
-    inside = summed.where("first_day is not null")  # drops windows that end after the last day
-    return inside.select("*", *[(F.col(f"total_{w}") / float(w)).alias(f"average_{w}") for w in widths])
+    by = [*series, "_s"]
+    dense = both.repartition(*by).groupBy(*by, "day").agg(F.max("first_day").alias("first_day"), F.sum("n").alias("active"), F.sum("v").alias("v"), F.sum("t").alias("t")).where("first_day is not null")
+    out = dense
+    for w in widths:
+        block = Window.partitionBy(*by, f"_b{w}")
+        upto = block.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+        after = block.orderBy("day").rowsBetween(1, Window.unboundedFollowing)
+        ago = Window.partitionBy(*by).orderBy("day")  # one row a day: w rows are w days
+        out = out.withColumn(f"_b{w}", floor_div("day", w))
+        out = out.withColumns({f"_p{c}{w}": F.sum(c).over(upto) for c in "tv"} | {f"_q{c}{w}": F.sum(c).over(after) for c in "tv"})
+        out = out.withColumns({f"_q{c}{w}": F.lag(f"_q{c}{w}", w).over(ago) for c in "tv"})
+    zero = {"t": F.lit(0.0), "v": F.lit(0).cast("long")}
+    total = lambda w, c: F.col(f"_p{c}{w}") + F.coalesce(f"_q{c}{w}", zero[c])
+    return out.where((own == F.col("_s")) & (F.col("day") >= F.col("first_day"))).select(
+        *series, "day", "first_day", "active",
+        *[total(w, "t").alias(f"total_{w}") for w in widths],
+        *[total(w, "v").alias(f"values_{w}") for w in widths],
+        *[(total(w, "t") / float(w)).alias(f"average_{w}") for w in widths],
+    )
 
 
 def trailing_of_facts(facts: DataFrame, widths: list[int]) -> DataFrame:

@@ -12,6 +12,7 @@ from epochal.plans.queries.facts import (
     HOUR, KEY, SQL_GRID, SQL_ORDERS, SQL_STEPS, MID, T0, E, S,
     events_as, grid, orders_as, sql_aligned, sql_clip, sql_events, sql_grid_of, sql_merge, sql_pieces, sql_range, steps,
 )
+from epochal.runtime import cut_lineage
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -455,12 +456,12 @@ def _generations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql_range(_GENERATIONS))
 def compact_1d_preserves_range(spark: SparkSession, d: str) -> DataFrame:
-    return reads.range_(compaction.compact(_generations(spark, d), KEY), KEY, S, E)
+    return reads.range_(cut_lineage(compaction.compact(_generations(spark, d), KEY)), KEY, S, E)
 
 
 @query(sql_range(f"SELECT * FROM ({_GENERATIONS}) WHERE written_at <= 9"))
 def compact_1d_preserves_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return reads.range_(compaction.compact(_generations(spark, d), KEY), KEY, S, E, written=9)
+    return reads.range_(cut_lineage(compaction.compact(_generations(spark, d), KEY)), KEY, S, E, written=9)
 
 
 @query(f"SELECT arg_max_null(value, layer_id) AS value FROM ({SQL_GRID}) WHERE {_box(T, 7)} HAVING count(*) > 0")

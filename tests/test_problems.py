@@ -116,7 +116,7 @@ def test_late_copy_of_an_empty_delivery(spark, tmp_path, nothing):
 
 def test_trailing(spark):
     rng = random.Random(3)
-    data = [(lens, rng.choice([None, 1, 2, 3]), 0, rng.randint(-5 * DAY, 80 * DAY), 0, rng.choice([None, -2.5, 0.25, 7.0])) for lens in ("a", "b", None) for _ in range(60)]
+    data = [(lens, rng.choice([None, 1, 2, 3]), 0, rng.randint(-5 * DAY, 80 * DAY) + rng.choice([0, 1980 * DAY if lens == "a" else 0]), 0, rng.choice([None, -2.5, 0.25, 7.0])) for lens in ("a", "b", None) for _ in range(60)]
     data += data[:20]
     df = spark.createDataFrame(data, "lens string, layer_id long, written_at long, lo long, hi long, value double")
     best = {}
@@ -130,14 +130,14 @@ def test_trailing(spark):
     want = {}
     for lens, held in days.items():
         for day in range(min(held), max(held) + 1):
-            for w in (1, 7, 30):
+            for w in (1, 7, 30, 365):
                 own = [v for x in range(day - w + 1, day + 1) for v in held.get(x, []) if v is not None]
                 want[lens, day, w] = (sum(own), len(own))
-    got = trailing.trailing_of_facts(df, [1, 7, 30]).collect()
-    assert len(got) * 3 == len(want)
+    got = trailing.trailing_of_facts(df, [1, 7, 30, 365]).collect()
+    assert len(got) * 4 == len(want)
     for r in got:
         assert r.active == len(days[r.lens].get(r.day, []))
-        for w in (1, 7, 30):
+        for w in (1, 7, 30, 365):
             assert (r[f"total_{w}"], r[f"values_{w}"]) == want[r.lens, r.day, w]
             assert abs(r[f"average_{w}"] - want[r.lens, r.day, w][0] / w) < 1e-12
 
