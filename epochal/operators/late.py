@@ -76,10 +76,13 @@ def merge(held: DataFrame) -> DataFrame:
     A source with a null in its key is unknown and kept as it is.
     """
     unknown = F.col("db").isNull() | F.col("layer_id").isNull()
-    highest = F.max("_seq").over(Window.partitionBy(*SOURCE))
-    ranked = held.withColumn("_seq", sequence()).withColumn("_top", highest).where(unknown | (F.col("_top") == F.col("_seq")))
-    keys = ["db", "lens", "day", "layer_id", *VERSION]
-    return ranked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in COUNTS + TOTALS])
+    seq = sequence()
+    counter = F.max(F.struct(seq.alias("seq"), *COUNTS, *TOTALS)).alias("c")  # combined before the shuffle
+    by = ["db", "lens", "day", "layer_id", "_own"]
+    best = held.withColumn("_own", F.when(unknown, seq)).groupBy(*by).agg(counter)  # a source has at most one a period
+    top = best.withColumn("_top", F.max("c.seq").over(Window.partitionBy(*SOURCE, "_own")))
+    kept = top.where(F.col("_top") == F.col("c.seq"))
+    return kept.select("db", "lens", "day", "layer_id", *[(-F.col(f"c.seq.{v}")).alias(v) for v in VERSION], *[F.col(f"c.{c}").alias(c) for c in COUNTS + TOTALS])
 
 
 def totals(merged: DataFrame) -> DataFrame:
