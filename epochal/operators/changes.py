@@ -9,12 +9,13 @@ with a third of all changes reaches its bucket as one row per task.
 from __future__ import annotations
 
 import json
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochal.runtime import estimated_bytes, scratch
+from epochal.runtime import Files, estimated_bytes, scratch
 
 STATE = "lens string, lo long, hi long, value double, layer_id long, feed_pos long, deleted boolean"
 ARROW = pa.schema([("lens", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()), ("value", pa.float64()), ("layer_id", pa.int64()), ("feed_pos", pa.int64()), ("deleted", pa.bool_())])
@@ -89,18 +90,27 @@ def upsert_ordered(batches):
     return upsert(batches, ordered=True)
 
 
+def bucket_of(buckets: int) -> Column:
+    """The bucket of a slot: the same number that a hash partitioning by slot gives it, so that a task holds one bucket."""
+    return F.pmod(F.hash("lens", "lo"), F.lit(int(buckets)))
+
+
+def bucket_count(feed: DataFrame) -> int:
+    return int(max(int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(feed) // BUCKET_BYTES))
+
+
 def apply_changes(feed: DataFrame, buckets: int | None = None, state: DataFrame | None = None) -> DataFrame:
     """The slots after all changes of ``feed`` (and those held in ``state``), tombstones included.
 
     Per (lens, lo) the change with the highest layer_id counts, whatever the order and number of
     deliveries; of equal layers the one later in the feed. Result columns: see STATE.
     """
-    changes = slot_changes(feed)
-    held = changes.mapInArrow(upsert, STATE)
-    n = buckets or max(int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(feed) // BUCKET_BYTES)
-    if state is not None:
-        held = held.unionAll(state.select(*ARROW.names))
-    return held.repartition(int(n), "lens", "lo").sortWithinPartitions("lens", "lo").mapInArrow(upsert_ordered, STATE)
+    return _upserted(slot_changes(feed).mapInArrow(upsert, STATE), buckets or bucket_count(feed), state)
+
+
+def _upserted(changes: DataFrame, buckets: int, state: DataFrame | None) -> DataFrame:
+    held = changes if state is None else changes.unionAll(state.select(*ARROW.names))
+    return held.repartition(int(buckets), "lens", "lo").sortWithinPartitions("lens", "lo").mapInArrow(upsert_ordered, STATE)
 
 
 def live(state: DataFrame) -> DataFrame:
@@ -109,56 +119,72 @@ def live(state: DataFrame) -> DataFrame:
 
 
 class StateTable:
-    """A table of slots whose versions are published atomically.
+    """A table of slots, stored by bucket, whose versions are published atomically.
 
-    Bucket results are exported into a directory of their own by Spark's committer, which
-    survives lost executors and repeated tasks. A version becomes current by the rename of
-    one small manifest, so a reader sees all buckets of one version or of the other.
+    A feed rewrites the buckets that it touches and no others. Their results are exported into a new
+    directory by Spark's committer, which survives lost executors and repeated tasks. A version is
+    one small manifest, which names the directory of every bucket; it appears whole under its number or not at
+    all, and of two writers of one number the second fails. The last ``keep`` versions stay readable;
+    what only older ones refer to is deleted.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+        self.files = Files(spark, self.path)
 
     def _versions(self) -> list[int]:
-        root = self._path(f"{self.path}/published")
-        if not self._fs.exists(root):
-            return []
-        return sorted(int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(root) if s.getPath().getName().endswith(".json"))
+        return [int(n[:-5]) for n in self.files.names(f"{self.path}/published") if n.endswith(".json")]
 
-    def current(self) -> DataFrame | None:
-        held = self._versions()
-        if not held:
-            return None
-        text = "\n".join(r.value for r in self.spark.read.text(f"{self.path}/published/{held[-1]:012d}.json").collect())
-        return self.spark.read.schema(STATE).parquet(json.loads(text)["data"])
-
-    def publish(self, state: DataFrame) -> DataFrame:
-        """Writes all buckets, then makes them the current version; a rival publication raises."""
-        version = (self._versions() or [0])[-1] + 1
-        data = f"{scratch_under(self.path)}"
-        state.write.parquet(data)
-        staged, final = self._path(f"{data}.manifest"), self._path(f"{self.path}/published/{version:012d}.json")
-        self._fs.mkdirs(final.getParent())
-        out = self._fs.create(staged, False)
-        out.write(bytearray(json.dumps({"version": version, "data": data}).encode()))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(staged, final):
-            raise RuntimeError(f"version {version} was published by another writer")
-        return self.current()
-
-    def apply(self, feed: DataFrame, buckets: int | None = None) -> DataFrame:
-        return self.publish(apply_changes(feed, buckets, self.current()))
+    def _manifest(self, version: int) -> dict:
+        return json.loads(self.files.read(f"{self.path}/published/{version:012d}.json"))
 
+    def manifest(self) -> dict:
+        """version, buckets (how many) and data (bucket: directory) of the current version; version 0 is empty."""
+        held = self._versions()
+        return self._manifest(held[-1]) if held else {"version": 0, "buckets": 0, "data": {}}
 
-def scratch_under(path: str) -> str:
-    import uuid
+    def _read(self, manifest: dict, only: list[int] | None = None) -> DataFrame | None:
+        data = manifest["data"]
+        paths = [f"{data[b]}/bucket={b}" for b in sorted(data, key=int) if only is None or int(b) in only]
+        return self.spark.read.schema(STATE).parquet(*paths) if paths else None
 
-    return f"{path}/data/{uuid.uuid4().hex}"
+    def current(self) -> DataFrame | None:
+        return self._read(self.manifest())
+
+    def publish(self, rows: DataFrame, before: dict, buckets: int) -> dict:
+        """Writes the buckets of ``rows`` and makes them, with all others of ``before``, the next version."""
+        data = f"{self.path}/data/{uuid.uuid4().hex}"
+        rows.withColumn("bucket", bucket_of(buckets)).write.partitionBy("bucket").parquet(data)
+        written = {n.removeprefix("bucket="): data for n in self.files.names(data) if n.startswith("bucket=")}
+        after = {"version": before["version"] + 1, "buckets": buckets, "data": before["data"] | written}
+        if not self.files.write_new(f"{self.path}/published/{after['version']:012d}.json", json.dumps(after)):
+            self.files.delete(data)
+            raise RuntimeError(f"version {after['version']} was published by another writer")
+        self._collect_garbage()
+        return after
+
+    def _collect_garbage(self) -> None:
+        versions = self._versions()
+        old, kept = versions[: -self.keep], versions[-self.keep :]
+        used = {d for v in kept for d in self._manifest(v)["data"].values()}
+        for v in old:
+            for d in set(self._manifest(v)["data"].values()) - used:
+                self.files.delete(d)
+            self.files.delete(f"{self.path}/published/{v:012d}.json")
+
+    def apply(self, feed: DataFrame, buckets: int | None = None) -> DataFrame | None:
+        """The current state after the changes of ``feed``; None if there are no slots at all."""
+        before = self.manifest()
+        n = before["buckets"] or buckets or bucket_count(feed)
+        changes, state = slot_changes(feed), None
+        if before["data"]:
+            touched = {r[0] for r in changes.select(bucket_of(n).alias("b")).distinct().collect()}  # as many as buckets
+            state = self._read(before, touched)
+        return self._read(self.publish(_upserted(changes.mapInArrow(upsert, STATE), n, state), before, n))
 
 
 def rebuild(feed: DataFrame, buckets: int | None = None) -> DataFrame:
     """The current state from the whole feed, published in the shared folder and read from there."""
-    return StateTable(feed.sparkSession, scratch(feed.sparkSession, "slots")).apply(feed, buckets)
+    spark = feed.sparkSession
+    found = StateTable(spark, scratch(spark, "slots")).apply(feed, buckets)
+    return spark.createDataFrame([], STATE) if found is None else found

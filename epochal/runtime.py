@@ -67,3 +67,66 @@ def ceil_to(x, n) -> Column:
     x = F.col(x) if isinstance(x, str) else x
     n = n if isinstance(n, Column) else F.lit(n).cast("long")
     return x + F.pmod(-x, n)
+
+
+class Files:
+    """Small files on any Hadoop file system, the local one included."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm, self._conf = jvm, spark._jsc.hadoopConfiguration()
+        self._fs = self._path(root).getFileSystem(self._conf)
+        self.local = self._fs.getScheme() == "file"
+
+    def names(self, folder: str) -> list[str]:
+        p = self._path(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
+
+    def read(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def size(self, path: str) -> int:
+        return self._fs.getFileStatus(self._path(path)).getLen()
+
+    def write_new(self, path: str, text: str) -> bool:
+        """Writes a whole file under a name that is not taken yet; False if another writer has taken it.
+
+        The content is written aside and given its name in one step that fails if the name exists:
+        a hard link on a local file system, elsewhere a rename that never replaces.
+        """
+        import os
+
+        final, aside = self._path(path), self._path(f"{path}.{uuid.uuid4().hex}.tmp")
+        self._fs.mkdirs(final.getParent())
+        out = self._fs.create(aside, False)
+        out.write(bytearray(text.encode()))
+        out.hsync()
+        out.close()
+        try:
+            if self.local:
+                os.link(aside.toUri().getPath(), final.toUri().getPath())
+            else:
+                never = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+                never[0] = getattr(self._jvm, "org.apache.hadoop.fs.Options$Rename").NONE
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self._conf).rename(aside, final, never)
+                return True
+        except FileExistsError:
+            return False
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        finally:
+            self.delete(aside.toString())
+        return True
+
+    def delete(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))

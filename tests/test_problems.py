@@ -247,6 +247,28 @@ def test_changes(spark, tmp_path):
     assert rows(changes.live(changes.rebuild(df.where("false")))) == []
 
 
+def test_changes_touch_their_buckets_only(spark, tmp_path):
+    def feed(*slots, layer=1, op="insert"):
+        return spark.createDataFrame([(i, lens, layer, op, [(lo, lo + 1, float(layer))]) for i, (lens, lo) in enumerate(slots)], "feed_pos long, lens string, layer_id long, op string, taus array<struct<lo:long,hi:long,value:double>>")
+
+    table = changes.StateTable(spark, f"file://{tmp_path}/state")
+    table.apply(feed(*[("a", i) for i in range(60)]), 8)
+    first = table.manifest()
+    assert len(first["data"]) == 8 and len(set(first["data"].values())) == 1
+    table.apply(feed(("a", 7), layer=2, op="Delete"))
+    second = table.manifest()
+    changed = [b for b in first["data"] if second["data"][b] != first["data"][b]]
+    assert len(changed) == 1 and changes.live(table.current()).count() == 59 and table.current().count() == 60
+    with pytest.raises(RuntimeError):  # two writers began from one version
+        table.publish(table.current(), first, 8)
+    assert table.manifest() == second and changes.live(table.current()).count() == 59
+    for layer in range(3, 7):
+        table.apply(feed(("a", 7), layer=layer))
+    assert len(table.files.names(f"{table.path}/published")) == 2
+    assert set(table.files.names(f"{table.path}/data")) == {d.rsplit("/", 1)[1] for v in table._versions() for d in table._manifest(v)["data"].values()}
+    assert {r.layer_id for r in table.current().where("lo = 7").collect()} == {6}
+
+
 def test_changes_in_steps(monkeypatch):
     import pyarrow as pa
 
