@@ -9,20 +9,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epochal.llm.words import words
+from epochal.llm.words import flat_words, numbers, words
 
 MAX_RATED = 20_000  # rated documents used for the fit, chosen by a hash of the id
-MAX_WORDS = 500_000  # words in the models, the most frequent of the rated documents
-
-
-def _hash(word: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+MAX_RATED_CHARS = 100_000_000  # characters of them in all; the models know every word of the sample
 
 
 def letters_only(text: str) -> list[str]:
@@ -32,22 +28,20 @@ def letters_only(text: str) -> list[str]:
 
 @dataclass
 class Models:
-    """log P(word | level) for known words and for a word of any frequency class unknown to all."""
+    """log P(level) and log P(word | level) for the words of the fit."""
 
     levels: list[int]
-    prior: list[float]
-    known: dict[int, int]  # word hash -> row of table
-    table: object  # float32, words x levels
+    prior: np.ndarray
+    vocabulary: pa.Array
+    table: np.ndarray  # float32, words x levels
 
-    def posterior(self, counts: dict[int, int]):
-        """Unnormalised log posterior per level, or None if no word is known."""
-        import numpy as np
-
-        rows = [(self.known[h], n) for h, n in counts.items() if h in self.known]
-        if not rows:
-            return None
-        at, n = np.array(rows).T
-        return np.array(self.prior) + n @ self.table[at].astype(float)
+    def scores(self, codes: np.ndarray, text: np.ndarray, n: np.ndarray | None, texts: int) -> np.ndarray:
+        """Unnormalised log posterior, texts x levels, of words (codes) that stand in texts, n times each."""
+        out = np.empty((texts, len(self.levels)))
+        for c in range(len(self.levels)):
+            gain = self.table[codes, c].astype(float)
+            out[:, c] = self.prior[c] + np.bincount(text, gain if n is None else gain * n, texts)
+        return out
 
 
 def formula_level(tokens: list[str], sentences: int) -> int:
@@ -58,14 +52,21 @@ def formula_level(tokens: list[str], sentences: int) -> int:
     return 1 + sum(score > edge for edge in (4, 7, 11, 16))
 
 
-def rated_counts(documents: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED) -> list[tuple[list[int], list[int], list[int]]]:
-    """(levels, word hashes, counts) of at most ``max_rated`` rated documents with text.
+def rated_bags(documents: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED, max_chars: int = MAX_RATED_CHARS) -> pa.Table:
+    """levels, w, n (words of a document and how often each) of the sample of rated documents with text.
 
+    The sample is taken in the order of a hash of the id, whole documents, up to the two bounds.
     A document's ratings all count, contradicting ones too. Null or out-of-range levels do not.
     """
     rated = labels.where("doc_id is not null and level between 1 and 5").groupBy("doc_id").agg(F.sort_array(F.collect_list("level")).alias("levels"))  # as many as raters
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
     texts = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sizes = texts.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most max_rated
+    if sum(r.n for r in sizes) > max_chars:
+        upto = np.cumsum([r.n for r in sizes]) <= max_chars
+        kept = documents.sparkSession.createDataFrame([(r.doc_id,) for r, k in zip(sizes, upto) if k or r is sizes[0]], "doc_id long")
+        texts = texts.join(F.broadcast(kept), "doc_id")
+    shape = pa.schema([("levels", pa.list_(pa.int32())), ("w", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
 
     def count(batches):
         from collections import Counter
@@ -73,76 +74,84 @@ def rated_counts(documents: DataFrame, labels: DataFrame, max_rated: int = MAX_R
         for batch in batches:
             out = []
             for text, levels in zip(batch.column("text"), batch.column("levels").to_pylist()):
-                held = Counter(_hash(w) for w in letters_only(text.as_py()))
+                held = Counter(letters_only(text.as_py()))
                 out.append({"levels": levels, "w": list(held), "n": list(held.values())})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("levels", pa.list_(pa.int32())), ("w", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pylist(out, schema=shape)
 
-    return [(r.levels, r.w, r.n) for r in texts.mapInArrow(count, "levels array<int>, w array<long>, n array<long>").toLocalIterator()]
+    return texts.mapInArrow(count, "levels array<int>, w array<string>, n array<long>").toArrow()
 
 
-def fit(rated: list[tuple[list[int], list[int], list[int]]], rounds: int = 2, smoothing: float = 0.1, max_words: int = MAX_WORDS) -> Models:
+def fit(rated: pa.Table, rounds: int = 2, smoothing: float = 0.1) -> Models:
     """Unigram models per level, smoothed towards all levels together.
 
     rounds: how often the ratings that the models contradict are set aside and the fit repeated.
     """
-    import numpy as np
-
-    total: dict[int, int] = {}
-    for _, ws, ns in rated:
-        for w, n in zip(ws, ns):
-            total[w] = total.get(w, 0) + n
-    kept = sorted(total, key=lambda w: (-total[w], w))[:max_words]
-    known = {w: k for k, w in enumerate(kept)}
-    levels = sorted({level for held, _, _ in rated for level in held})
-    bags = []
-    for held, ws, ns in rated:
-        pairs = [(known[w], n) for w, n in zip(ws, ns) if w in known]
-        at, n = (np.array(pairs).T if pairs else (np.zeros(0, int), np.zeros(0, int)))
-        bags.append((held, at, n))
-    ratings = [(k, levels.index(level), 1 / len(held)) for k, (held, _, _) in enumerate(bags) for level in held]
-    use, table, prior = ratings, None, None
-    for turn in range(rounds + 1):
-        count, mass = np.zeros((len(kept), len(levels))), np.full(len(levels), 0.5)
-        for k, c, share in use:
-            _, at, n = bags[k]
-            count[at, c] += n * share
-            mass[c] += share
-        spread = (count.sum(1) + 1) / (count.sum() + len(kept) + 1)
-        strength = smoothing * max(1, len(kept))
-        table = np.log((count + strength * spread[:, None]) / (count.sum(0) + strength)) if len(levels) else count
-        prior = np.log(mass / mass.sum()) if len(levels) else mass
+    bags = rated.column("w").combine_chunks()
+    coded = bags.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    n = rated.column("n").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+    size = pc.list_value_length(bags).to_numpy(zero_copy_only=False)
+    text = np.repeat(np.arange(len(bags)), size)
+    held = rated.column("levels").to_pylist()
+    levels = sorted({level for own in held for level in own})
+    of = np.array([k for k, own in enumerate(held) for _ in own], np.int64)
+    rating = np.array([levels.index(level) for own in held for level in own], np.int64)
+    share = np.array([1 / len(own) for own in held for _ in own])
+    kept = len(coded.dictionary)
+    use = np.ones(len(of), bool)
+    models = Models(levels, np.zeros(0), coded.dictionary, np.zeros((kept, 0), "float32"))
+    for turn in range(rounds + 1 if levels else 0):
+        weight = np.zeros((len(bags), len(levels)))
+        np.add.at(weight, (of[use], rating[use]), share[use])
+        count = np.stack([np.bincount(codes, n * weight[text, c], kept) for c in range(len(levels))], axis=1)
+        mass = 0.5 + weight.sum(0)
+        spread = (count.sum(1) + 1) / (count.sum() + kept + 1)
+        strength = smoothing * max(1, kept)
+        models.table = np.log((count + strength * spread[:, None]) / (count.sum(0) + strength)).astype("float32")
+        models.prior = np.log(mass / mass.sum())
         if turn < rounds:
-            guess = [int(np.argmax(prior + n @ table[at])) for _, at, n in bags]
-            use = [r for r in ratings if guess[r[0]] == r[1]] or ratings
-    return Models(levels, [float(x) for x in prior], known, table.astype("float32"))
-
-
-def level_of(models: Models, text: str) -> int | None:
-    """The level with the highest posterior; the lower one of a tie. No word at all: None."""
-    from collections import Counter
-
-    tokens = letters_only(text)
-    if not tokens:
-        return None
-    scores = models.posterior(Counter(map(_hash, tokens))) if models.levels else None
-    if scores is None:
-        return formula_level(tokens, sum(text.count(c) for c in ".!?;\n") or 1)
-    return int(models.levels[int(scores.argmax())])
-
-
-def reading_levels(documents: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED, rounds: int = 2) -> DataFrame:
+            guess = models.scores(codes, text, n, len(bags)).argmax(1)
+            agreed = guess[of] == rating
+            use = agreed if agreed.any() else np.ones(len(of), bool)
+    return models
+
+
+def levels_of(models: Models, texts: pa.Array) -> pa.Array:
+    """The level with the highest posterior of each text (none of them null); the lower one of a tie. No word at all: null."""
+    flat, counts = flat_words(texts)
+    codes = numbers(flat, models.vocabulary) if len(models.vocabulary) else np.full(len(flat), -1)
+    text = np.repeat(np.arange(len(counts)), counts)
+    known = codes >= 0
+    found = np.bincount(text[known], minlength=len(counts)) > 0
+    level = np.zeros(len(counts), np.int32)
+    none = np.zeros(len(counts), bool)
+    if found.any():
+        best = models.scores(codes[known], text[known], None, len(counts)).argmax(1)
+        level[:] = np.array(models.levels, np.int32)[best]
+    for k in np.flatnonzero(~found):  # no word is known
+        one = texts[int(k)].as_py()
+        tokens = letters_only(one)
+        none[k] = not tokens
+        level[k] = formula_level(tokens, sum(one.count(c) for c in ".!?;\n") or 1)
+    return pa.array(level, pa.int32(), mask=none)
+
+
+def reading_levels(documents: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED, rounds: int = 2, max_chars: int = MAX_RATED_CHARS) -> DataFrame:
     """doc_id, level (1 to 5) of every document, scored on its whole text.
 
     Null texts and texts without words have a null level. Texts of which no word is known (also: no
     ratings at all) are graded by a formula of word and sentence length. Repeated rows stay.
     """
     spark = documents.sparkSession
-    models = spark.sparkContext.broadcast(fit(rated_counts(documents, labels, max_rated), rounds))  # bounded by MAX_WORDS
+    models = spark.sparkContext.broadcast(fit(rated_bags(documents, labels, max_rated, max_chars), rounds))  # words of the sample at most
 
     def grade(batches):
         own = models.value
         for batch in batches:
-            levels = [None if (text := t.as_py()) is None else level_of(own, text) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(levels, pa.int32())], names=["doc_id", "level"])
+            texts = batch.column("text")
+            here = texts.is_valid()
+            found = levels_of(own, texts.drop_null())
+            levels = pc.replace_with_mask(pa.nulls(batch.num_rows, pa.int32()), here, found)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), levels], names=["doc_id", "level"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(grade, "doc_id long, level int")
