@@ -1,29 +1,33 @@
 """Evaluation texts that leaked into training text.
 
-The passages of all test items form one generalised suffix automaton over normalised
-words. Every document is streamed through it once, whole; the longest matching lengths
-give the exact runs, which nominate items; a local alignment of each nominated passage
-then bridges a few altered words and decides. The corpus is never shuffled: each task
-needs only the automaton, whose size is bounded by sharding the items.
+The passages of all test items form generalised suffix automata over normalised words, each of a
+bounded number of words. Every document is streamed through them, whole; the longest matching
+lengths over all automata give the exact runs, which nominate passages; a local alignment of each
+nominated passage then bridges a few altered words and decides. The corpus is read and spelled once and
+never shuffled, and how passages are shared out over automata changes nothing.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_left
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import reduce
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epochal.llm.automaton import Automaton
-from epochal.llm.words import placed_words, words
+from epochal.llm.words import flat_words, numbers, placed_words, words
 
-SHARD_WORDS = 200_000  # words of passages in one automaton; more items are taken in further passes
+SHARD_WORDS = 200_000  # words of passages in one automaton
+LABEL = re.compile(r"\s*[^\W\d_][^\s:]{0,30}:(\s|$)")
+BLANK = re.compile(r"\n[ \t]*\n")
+HELD = 8  # automata that a Python worker keeps; of more, each batch of documents loads one after the other
 
 
 @dataclass(frozen=True)
@@ -36,10 +40,8 @@ class Rules:
     two runs' length of the passage is spanned.
     altered: words altered at most in a shorter piece below ``strict``; it must be ``ahead`` in score (about one
     rare word) of every passage of other wording on its words. An unaltered run of the rule's length needs neither.
-    better: across shards of items, a fit below ``strict`` yields to another on the same words whose score
-    is so many times higher.
     seed: words of an exact run that nominates an item.
-    shared_blocks: a block of text (between blank lines) found in more items than this is an instruction.
+    common: share of a suite's items that an instruction has at least.
     cover: a document of which at least this share is leaked is dropped whole.
     """
 
@@ -49,81 +51,149 @@ class Rules:
     strict: float = 0.92
     altered: int = 2
     ahead: float = 1.0
-    better: float = 1.3
     seed: int = 3
-    shared_blocks: int = 10
+    common: float = 0.1
     cover: float = 0.8
 
 
 @dataclass
 class Index:
-    items: list[int]
+    """All passages (each wording once, with the items that hold it), and automata over parts of them.
+
+    shards: (number of the first passage, its automaton). grams: codes of all runs of ``seed`` words.
+    """
+
+    items: list[list[int]]
     passages: list[list[int]]
-    vocabulary: dict[str, int]
+    vocabulary: pa.Array
     rarity: list[float]
-    automaton: Automaton = field(repr=False)
+    grams: np.ndarray
+    shards: list = field(repr=False, default_factory=list)
+
+    def codes(self, spelled: list[str]) -> list[int]:
+        return numbers(pa.array(spelled, pa.large_string()), self.vocabulary).tolist() if spelled else []
+
 
+def asked(block: str) -> bool:
+    """Whether a block of an item is what it asks, by form: a question, or a line under a label."""
+    return block.rstrip().endswith("?") or LABEL.match(block) is not None
 
-def passage_words(texts: list[str], shared_blocks: int) -> list[list[str]]:
-    """The passage of each item: its longest block of text, blocks shared as instructions aside."""
-    blocks = [[w for b in t.replace("\r\n", "\n").split("\n\n") if (w := words(b))] for t in texts]
-    held: dict[tuple, int] = {}
-    for item in blocks:
-        for b in {tuple(b) for b in item}:
-            held[b] = held.get(b, 0) + 1
-    return [max((b for b in item if held[tuple(b)] <= shared_blocks), key=len, default=[]) for item in blocks]
 
+def passages_of(texts: list[str], suites: list[str], rules: Rules) -> list[list[list[str]]]:
+    """The passages of each item: all its blocks of text (between blank lines) of at least ``run`` words but two kinds.
 
-def build_indexes(items: list[tuple[int, str]], rules: Rules, shard_words: int = SHARD_WORDS) -> list[Index]:
-    """One index per shard of items. Items without a passage of at least ``run`` words cannot leak."""
-    passages = passage_words([t for _, t in items], rules.shared_blocks)
-    kept = [(i, p) for (i, _), p in zip(items, passages) if len(p) >= rules.run]
+    What it asks: the first or last block of several, if it is a question or has a label (:func:`asked`).
+    Instructions: blocks that are common in a suite (at least ``common`` of its items, each text once) and stand
+    beside differing passages: at least two blocks that are longer and held by fewer items. A passage that
+    any number of items share stands beside instructions, which more items hold, beside what they ask, which
+    is shorter, or beside the same further paragraphs; so it stays.
+    """
+    items: dict[tuple, list[tuple[str, ...]]] = {}  # each text of a suite once
+    blocks = []
+    for text, suite in zip(texts, suites):
+        held = [(b, w) for b in BLANK.split(text.replace("\r\n", "\n")) if (w := tuple(words(b)))]
+        rim = {0, len(held) - 1} if len(held) > 1 else set()
+        own = [w for k, (b, w) in enumerate(held) if not (k in rim and asked(b))]
+        blocks.append(own)
+        items.setdefault((suite, *(w for _, w in held)), own)
+    sizes: dict[str, int] = {}
+    spread: dict[tuple, dict[str, int]] = {}
+    for key, own in items.items():
+        sizes[key[0]] = sizes.get(key[0], 0) + 1
+        for b in set(own):
+            seen = spread.setdefault(b, {})
+            seen[key[0]] = seen.get(key[0], 0) + 1
+    held_by = {b: sum(seen.values()) for b, seen in spread.items()}
+    frequent = {b for b, seen in spread.items() if held_by[b] > 1 and any(n >= rules.common * sizes[s] for s, n in seen.items())}
+    beside: dict[tuple, set[tuple]] = {b: set() for b in frequent}
+    for own in items.values():
+        for b in frequent.intersection(own):
+            beside[b].update(x for x in own if len(x) > len(b) and held_by[x] < held_by[b])
+    told = {b for b, others in beside.items() if len(others) > 1}
+    return [[list(b) for b in dict.fromkeys(own) if len(b) >= rules.run and b not in told] for own in blocks]
+
+
+def gram_codes(ids: np.ndarray, seed: int) -> np.ndarray:
+    """One number per run of ``seed`` words; different runs may have one number, as only candidates are sought."""
+    n = max(0, len(ids) - seed + 1)
+    code = np.zeros(n, np.uint64)
+    for k in range(seed):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n].astype(np.uint64) + np.uint64(1)
+    return code
+
+
+def build_index(items: list[tuple[int, str]], rules: Rules, shard_words: int = SHARD_WORDS, suites: list[str] | None = None) -> Index:
+    """The index of all items (id, text), of one suite unless ``suites`` tells them apart. Items without a passage of at least ``run`` words cannot leak."""
+    holders: dict[tuple, set[int]] = {}
+    for (i, _), own in zip(items, passages_of([t for _, t in items], suites or [""] * len(items), rules)):
+        for p in own:
+            holders.setdefault(tuple(p), set()).add(i)
     spread: dict[str, int] = {}
-    for p in {tuple(p) for _, p in kept}:
+    for p in holders:
         for w in set(p):
             spread[w] = spread.get(w, 0) + 1
-    distinct = max(2, len({tuple(p) for _, p in kept}))
-    shards: list[list] = []
-    size = shard_words
-    for i, p in kept:
-        if size + len(p) > shard_words:
-            shards.append([])
-            size = 0
-        shards[-1].append((i, p))
-        size += len(p)
-    out = []
-    for shard in shards:
-        vocabulary: dict[str, int] = {}
-        ids = [[vocabulary.setdefault(w, len(vocabulary)) for w in p] for _, p in shard]
-        rarity = [max(0.05, math.log(distinct / spread[w]) / math.log(distinct)) for w in vocabulary]
-        out.append(Index([i for i, _ in shard], ids, vocabulary, rarity, Automaton(ids)))
-    return out
+    whole = math.log(max(2, len(holders)))
+    vocabulary = {w: k for k, w in enumerate(spread)}
+    rarity = [max(0.05, math.log(max(2, len(holders)) / spread[w]) / whole) for w in vocabulary]
+    passages = [[vocabulary[w] for w in p] for p in holders]
+    grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *(gram_codes(np.array(p, np.int64), rules.seed) for p in passages)]))
+    index = Index([sorted(own) for own in holders.values()], passages, pa.array(list(vocabulary), pa.large_string()), rarity, grams)
+    first, size = 0, 0
+    for k, p in enumerate([*passages, None]):
+        if k > first and (p is None or size + len(p) > shard_words):
+            index.shards.append((first, Automaton(passages[first:k])))
+            first, size = k, 0
+        size += len(p or ())
+    return index
+
+
+class Walk:
+    """Longest matches of one text over all automata: per word the length, and the states of the automata that reach it."""
+
+    def __init__(self, words: int):
+        self.length = [0] * words
+        self.states: list[list] = [[] for _ in range(words)]  # (automaton, state) of the longest
+        self.full: list[list] = [[] for _ in range(words)]  # the same of all that match a whole run
+
+    def add(self, first: int, automaton: Automaton, ids: list[int], rules: Rules) -> None:
+        for at, (n, state) in enumerate(automaton.longest(ids)):
+            if n < rules.seed:
+                continue
+            if n > self.length[at]:
+                self.length[at], self.states[at] = n, []
+            if n == self.length[at]:
+                self.states[at].append((first, automaton.places(state)))
+            if n >= rules.run:
+                self.full[at].append((first, automaton.places(automaton.suffix(state, rules.run))))
+
+    def nominate(self, rules: Rules) -> dict[int, list[tuple[int, int]]]:
+        """Passages with exact runs in the text, each with the (first, last) words of those runs, in order.
+
+        A run of the rule's length nominates every passage that holds it, though another matches longer;
+        shorter runs nominate the passages of the longest match (a passage that fits worse than another
+        on the same words could only count if nearly nothing of it were altered).
+        """
+        found: dict[int, list[tuple[int, int]]] = {}
+
+        def put(places: list, first: int, last: int) -> None:
+            for number in sorted({start + p for start, held in places for p, _ in held}):
+                found.setdefault(number, []).append((first, last))
+
+        before = 0
+        for at, n in enumerate([*self.length, 0]):
+            if rules.seed <= before < rules.run and n != before + 1:
+                put(self.states[at - 1], at - before, at - 1)
+            if n >= rules.run:
+                put(self.full[at], at + 1 - rules.run, at)
+            before = n
+        return {p: r for p, r in found.items() if _worth(r, rules)}
 
 
 def nominate(index: Index, ids: list[int], rules: Rules) -> dict[int, list[tuple[int, int]]]:
-    """Passages with exact runs in the text, each with the (first, last) words of those runs, in order.
-
-    A run of the rule's length nominates every passage that holds it, though another matches longer;
-    shorter runs nominate the passages of the longest match (a passage that fits worse than another
-    on the same words could only count if nearly nothing of it were altered).
-    """
-    automaton, run = index.automaton, rules.run
-    found: dict[int, list[tuple[int, int]]] = {}
-    before, held = 0, 0
-
-    def put(state: int, first: int, last: int) -> None:
-        for number in {p for p, _ in automaton.places(state)}:
-            found.setdefault(number, []).append((first, last))
-
-    for at, (n, state) in enumerate(automaton.longest(ids)):
-        if rules.seed <= before < run and n != before + 1:
-            put(held, at - before, at - 1)
-        if n >= run:
-            put(automaton.suffix(state, run), at + 1 - run, at)
-        before, held = n, state
-    if rules.seed <= before < run:
-        put(held, len(ids) - before, len(ids) - 1)
-    return {p: r for p, r in found.items() if _worth(r, rules)}
+    walk = Walk(len(ids))
+    for first, automaton in index.shards:
+        walk.add(first, automaton, ids, rules)
+    return walk.nominate(rules)
 
 
 def _worth(runs: Iterable[tuple[int, int]], rules: Rules) -> bool:
@@ -145,8 +215,6 @@ def align(passage: list[int], rarity: list[float], ids: list[int], reach: int |
     (score, first, last, words of the passage spanned, unaltered ones, weighted share of those).
     first and last are positions in the stretch. With ``reach``, what lies so many words after the best is not read.
     """
-    import numpy as np
-
     p = np.array(passage)
     w = np.array([rarity[x] for x in passage])
     gain, loss = 0.2 + w, 0.45 + 0.55 * w
@@ -189,8 +257,6 @@ def piece(passage: list[int], ids: list[int], run: int, altered: int) -> tuple[i
     It has at least ``run`` words, the first and last unaltered; of the least altered pieces the longest, or None if
     all have more than ``altered`` altered words.
     """
-    import numpy as np
-
     same = np.equal.outer(np.array(ids), np.array(passage))
     least = altered + 1
     best = None
@@ -224,7 +290,7 @@ class Leak:
     share: float
 
 
-def leaks_in(index: Index, ids: list[int], rules: Rules) -> list[Leak]:
+def leaks_in(index: Index, ids: list[int], rules: Rules, nominated: dict[int, list[tuple[int, int]]] | None = None) -> list[Leak]:
     """Every leak of the index' passages in one text.
 
     Where another passage explains the same words better, one that fits them only in part through
@@ -232,7 +298,7 @@ def leaks_in(index: Index, ids: list[int], rules: Rules) -> list[Leak]:
     A run of the rule's length without altered words counts whatever lies beside it.
     """
     out, short = [], []
-    nominated = nominate(index, ids, rules)
+    nominated = nominate(index, ids, rules) if nominated is None else nominated
 
     def pieced(number: int, a: int, b: int, altered: int) -> tuple[Leak, list[int]] | None:
         """A short piece in words a to b (excluded), and its words in the passage."""
@@ -303,99 +369,158 @@ def leaks_in(index: Index, ids: list[int], rules: Rules) -> list[Leak]:
     return kept + [x for x, own in short if not explained(x, own)]
 
 
-def _look_up(index: Index, text_words: list[str]) -> list[int]:
-    get = index.vocabulary.get
-    return [get(w, -1) for w in text_words]
+def candidates(index: Index, codes: np.ndarray, counts: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
+    """Texts that could hold a leak, and all words' codes with those in no run of ``seed`` words of a passage set to -1.
 
+    codes: of the words of many texts, one after the other. A leak needs half a run's words in such runs.
+    """
+    text = np.repeat(np.arange(len(counts)), counts)
+    n, seed = len(codes), rules.seed
+    covered = np.zeros(n, bool)
+    if n >= seed and len(index.grams):
+        whole = text[: n - seed + 1] == text[seed - 1 :]
+        for k in range(seed):
+            whole &= codes[k : n - seed + 1 + k] >= 0
+        at = np.flatnonzero(whole)
+        code = gram_codes(codes.astype(np.int64), seed)[at]
+        place = np.minimum(np.searchsorted(index.grams, code), len(index.grams) - 1)
+        at = at[index.grams[place] == code]
+        for k in range(seed):
+            covered[at + k] = True
+    enough = 2 * np.bincount(text[covered], minlength=len(counts)) >= rules.run
+    return np.flatnonzero(enough), np.where(covered, codes, -1)
+
+
+def leaks_of(index: Index, shards: list, texts: pa.Array, rules: Rules) -> dict[int, list[tuple[Leak, int, int]]]:
+    """Of each text (by place; none is null) that holds any: its leaks, with their first and last characters.
+
+    shards: functions that give (number of the first passage, automaton), called one after the other.
+    """
+    flat, counts = flat_words(texts)
+    likely, codes = candidates(index, numbers(flat, index.vocabulary), counts, rules)
+    if not len(likely):
+        return {}
+    ends = np.cumsum(counts)
+    narrow = {int(k): codes[ends[k] - counts[k] : ends[k]].tolist() for k in likely}
+    walks = {k: Walk(len(ids)) for k, ids in narrow.items()}
+    for shard in shards:
+        first, automaton = shard()
+        for k, ids in narrow.items():
+            walks[k].add(first, automaton, ids, rules)
+    out = {}
+    for k, walk in walks.items():
+        if not (nominated := walk.nominate(rules)):
+            continue
+        spelled, places = placed_words(texts[k].as_py())
+        if found := leaks_in(index, index.codes(spelled), rules, nominated):
+            out[k] = [(x, places[x.first][0], places[x.last][1]) for x in found]
+    return out
 
-def _indexes(spark, items: DataFrame, rules: Rules):
-    rows = items.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text")
-    held = [(r.item_id, r.text) for r in rows.toLocalIterator()]  # the test suites, not the corpus
-    return [spark.sparkContext.broadcast(i) for i in build_indexes(held, rules)]
 
+def _scanner(spark, items: DataFrame, rules: Rules, shard_words: int):
+    """A function of texts that gives their leaks, for use in tasks; and the index (None: there are no passages)."""
+    suite = F.coalesce(F.col("suite").cast("string"), F.lit("")) if "suite" in items.columns else F.lit("")
+    rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text", suite.alias("suite")).orderBy("item_id", "text", "suite")
+    held = rows.collect()  # the test suites, not the corpus
+    index = build_index([(r.item_id, r.text) for r in held], rules, shard_words, [r.suite for r in held])
+    if not index.shards:
+        return None
+    held = [spark.sparkContext.broadcast(s) for s in index.shards]  # each bounded by SHARD_WORDS
+    index.shards = []
+    bare = spark.sparkContext.broadcast(index)
 
-def find_leaks(documents: DataFrame, items: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """doc_id, item_id, spanned, unaltered, first_char, last_char: every leak of every document.
+    def scan(texts: pa.Array) -> dict[int, list[tuple[Leak, int, int]]]:
+        def load(b):
+            out = b.value
+            if len(held) > HELD:
+                b.__dict__.pop("_value", None)  # read again from the local copy when it is needed next
+            return out
 
-    Items that share a passage are all reported; wording that many items share as an instruction, and
-    questions beside the passage, do not count. Null and empty texts contain nothing; texts of any length
-    are read whole. A document or item given twice is reported once. No rows give no rows.
-    """
-    whole = ["doc_id", "item_id", "spanned", "unaltered", "first_char", "last_char"]
-    fields = [(c, pa.int64()) for c in [*whole, "first", "last"]] + [("score", pa.float64()), ("share", pa.float64())]
-    shape, schema = pa.schema(fields), ", ".join(f"{c} {'long' if t == pa.int64() else 'double'}" for c, t in fields)
-    narrow = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        return leaks_of(bare.value, [lambda b=b: load(b) for b in held], texts, rules)
 
-    def scan(index):
-        def run(batches):
-            own = index.value
-            for batch in batches:
-                out = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                    text = text.as_py()
-                    ids = _look_up(own, words(text))
-                    if not nominate(own, ids, rules):
-                        continue
-                    spelled, places = placed_words(text)
-                    for x in leaks_in(own, _look_up(own, spelled), rules):
-                        out.append((doc, own.items[x.passage], x.spanned, x.unaltered, places[x.first][0], places[x.last][1], x.first, x.last, x.score, x.share))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), shape)], schema=shape)
+    def items_of(leak: Leak) -> list[int]:
+        return bare.value.items[leak.passage]
 
-        return narrow.mapInArrow(run, schema)
+    return scan, items_of
 
-    parts = [scan(i) for i in _indexes(documents.sparkSession, items, rules)]
-    if not parts:
-        return documents.sparkSession.createDataFrame([], schema).select(*whole)
-    found = reduce(DataFrame.unionAll, parts).distinct()
-    return (found if len(parts) == 1 else _best_of_shards(found, rules)).select(*whole)
 
+def find_leaks(documents: DataFrame, items: DataFrame, rules: Rules = Rules(), shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, item_id, spanned, unaltered, first_char, last_char: every leak of every document.
 
-def _best_of_shards(found: DataFrame, rules: Rules) -> DataFrame:
-    """Drops fits that a passage of another shard outdoes; per document there are at most its leaks."""
-    fields = [c for c in found.columns if c != "doc_id"]
-    held = found.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("all"))
+    Items that share a passage are all reported, however many; instructions and what is asked beside the
+    passages do not count (:func:`passages_of`). Null and empty texts contain nothing; texts of any length
+    are read whole. A document or item given twice is reported once. No rows give no rows.
+    """
+    whole = ["doc_id", "item_id", "spanned", "unaltered", "first_char", "last_char"]
+    shape, schema = pa.schema([(c, pa.int64()) for c in whole]), ", ".join(f"{c} long" for c in whole)
+    spark = documents.sparkSession
+    scanner = _scanner(spark, items, rules, shard_words)
+    if scanner is None:
+        return spark.createDataFrame([], schema)
+    scan, items_of = scanner
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            out = [(ids[k], i, x.spanned, x.unaltered, a, b) for k, held in scan(batch.column("text")).items() for x, a, b in held for i in items_of(x)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=shape)
 
-    def outdone(x):
-        def by(y):
-            common = F.least(x["last"], y["last"]) - F.greatest(x["first"], y["first"])
-            return (y["score"] > rules.better * x["score"]) & (2 * common >= x["last"] - x["first"])
+    narrow = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return narrow.mapInArrow(run, schema).distinct()
 
-        return (x["share"] < rules.strict) & F.exists("all", by)
 
-    return held.select("doc_id", F.explode(F.filter("all", lambda x: ~outdone(x))).alias("x")).select("doc_id", *[F.col(f"x.{c}").alias(c) for c in fields])
+def leaked_pairs(documents: DataFrame, items: DataFrame, rules: Rules = Rules(), shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, item_id of every document and test item that leaked into it."""
+    return find_leaks(documents, items, rules, shard_words).select("doc_id", "item_id").distinct()
 
 
-def leaked_pairs(documents: DataFrame, items: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """doc_id, item_id of every document and test item that leaked into it."""
-    return find_leaks(documents, items, rules).select("doc_id", "item_id").distinct()
+def without(text: str, spans: list[tuple[int, int]], cover: float) -> tuple[str | None, int]:
+    """What is left of a text without the spans, and how many characters are gone; None if at least ``cover`` of it is."""
+    kept, at, removed = [], 0, 0
+    for a, b in sorted(spans):
+        a = max(at, a)
+        if b > a:
+            kept.append(text[at:a])
+            removed += b - a
+            at = b
+    return (None, len(text)) if removed >= cover * len(text) else ("".join(kept) + text[at:], removed)
 
 
-def remove_leaks(documents: DataFrame, items: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def remove_leaks(documents: DataFrame, items: DataFrame, rules: Rules = Rules(), shard_words: int = SHARD_WORDS) -> DataFrame:
     """The corpus without leaks: spans are cut out; documents covered beyond ``cover`` are dropped.
 
     All columns are kept; ``removed_chars`` is added (it may not exist before). Documents without leaks,
-    those with a null id or text included, pass unchanged.
+    those with a null id or text included, pass unchanged; each row is judged by its own text. The corpus is
+    read once: what is found in a batch is cut from it.
     """
-    spans = find_leaks(documents, items, rules).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first_char", "last_char"))).alias("_spans"))  # per document at most its words times the items
-
-    @F.pandas_udf("text string, removed long")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, own in zip(texts, spans):
-            kept, at, removed = [], 0, 0
-            for s in own:
-                a, b = max(at, s["first_char"]), s["last_char"]
-                if b > a:
-                    kept.append(text[at:a])
-                    removed += b - a
-                    at = b
-            whole = removed >= rules.cover * len(text)
-            out.append((None if whole else "".join(kept) + text[at:], len(text) if whole else removed))
-        return pd.DataFrame(out, columns=["text", "removed"])
-
-    joined = documents.join(spans, "doc_id", "left")
-    clean = joined.where("_spans is null").drop("_spans").withColumn("removed_chars", F.lit(0).cast("long"))
-    cutting = joined.where("_spans is not null").withColumn("_c", cut("text", "_spans")).where("_c.text is not null")
-    cutting = cutting.withColumn("text", F.col("_c.text")).withColumn("removed_chars", F.col("_c.removed")).drop("_spans", "_c")
-    return clean.unionByName(cutting)
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    scanner = _scanner(documents.sparkSession, items, rules, shard_words)
+    if scanner is None:
+        return documents.withColumn("removed_chars", F.lit(0).cast("long"))
+    scan, _ = scanner
+    schema = StructType([*documents.schema.fields, StructField("removed_chars", LongType())])
+    at = documents.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at)
+            places = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
+            removed, kept = np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, bool)
+            new: dict[int, str] = {}
+            for k, held in scan(texts.drop_null()).items():
+                k = int(places[k])
+                text, removed[k] = without(texts[k].as_py(), [(a, b) for _, a, b in held], rules.cover)
+                if text is None:
+                    kept[k] = False
+                else:
+                    new[k] = text
+            if new:
+                mask = np.zeros(batch.num_rows, bool)
+                mask[list(new)] = True
+                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([new[k] for k in sorted(new)], texts.type))
+            columns = [texts if i == at else c for i, c in enumerate(batch.columns)] + [pa.array(removed)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "removed_chars"]).filter(pa.array(kept))
+
+    return documents.mapInArrow(run, schema)

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from tests.conftest import rows
 
@@ -65,22 +66,76 @@ def test_short_altered_pieces(spark):
 def test_short_altered_pieces_of_common_wording():
     start = [f"w{k}" for k in range(14)]
     held = [(i, f"{ASK}\n\n" + " ".join([*start[:6], f"name{i}", *start[7:], *(f"own{i}x{k}" for k in range(10))])) for i in range(12)]
-    (index,) = leaks.build_indexes(held, leaks.Rules())
-    got = [leaks.leaks_in(index, leaks._look_up(index, [*start[:6], x, *start[7:]]), leaks.Rules()) for x in ("unknown", "name3")]
-    assert got[0] == [] and [index.items[x.passage] for x in got[1]] == [3]
+    index = leaks.build_index(held, leaks.Rules())
+    got = [leaks.leaks_in(index, index.codes([*start[:6], x, *start[7:]]), leaks.Rules()) for x in ("unknown", "name3")]
+    assert got[0] == [] and [index.items[x.passage] for x in got[1]] == [[3]]
 
 
 def test_several_items_and_repeats(spark):
     assert found(spark, PASSAGE + " and " + OTHER, OTHER, OTHER) == [(0, 1), (0, 2), (0, 3), (1, 3), (2, 3)]
 
 
-def test_sharding_changes_nothing():
-    held = [(i, f"{ASK}\n\n" + " ".join(f"w{(i * 7 + k) % 50}" for k in range(20))) for i in range(20)]
-    text = words(" ".join(f"w{k % 50}" for k in range(40)))
-    pairs = []
-    for size in (10, 100_000):
-        pairs.append({index.items[x.passage] for index in leaks.build_indexes(held, leaks.Rules(), size) for x in leaks.leaks_in(index, leaks._look_up(index, text), leaks.Rules())})
-    assert pairs[0] == pairs[1] and pairs[0]
+def near(rng, base, k):
+    """A passage with k words altered."""
+    out = list(base)
+    for at in rng.sample(range(len(base)), k):
+        out[at] = f"alt{rng.randint(0, 50)}"
+    return out
+
+
+def test_sharding_changes_nothing(spark):
+    """Near-equal passages, altered words, and one automaton or one per passage."""
+    rng = random.Random(6)
+    base = [[f"w{rng.randint(0, 60)}" for _ in range(rng.randint(14, 40))] for _ in range(12)]
+    held = [(10 * i + k, f"{ASK}\n\n" + " ".join(p if k == 0 else near(rng, p, k))) for i, p in enumerate(base) for k in (0, 1, 2, 5)]
+    docs = []
+    for n in range(60):
+        p = rng.choice(held)[1].split("\n\n")[1].split()
+        a = rng.randint(0, len(p) - 12)
+        docs.append((n, " ".join(["pears"] * 5 + near(rng, p[a : a + rng.randint(12, 40)], min(2, n % 4)) + ["plums"] + rng.choice(base)[:13]), ""))
+    df = spark.createDataFrame(docs, DOC)
+    suite = spark.createDataFrame([(i, "s", t) for i, t in held], "item_id long, suite string, text string")
+    pairs = [rows(leaks.find_leaks(df, suite, shard_words=size)) for size in (10, 300, 200_000)]
+    assert pairs[0] == pairs[1] == pairs[2] and len(pairs[0]) > 60
+
+
+def test_near_equal_passages_are_settled_whatever_the_automaton(spark):
+    w = PASSAGE.split()
+    other = [*w[:10], "seven", *w[11:]]
+    suite = spark.createDataFrame([(1, "s", PASSAGE), (2, "s", " ".join(other)), (3, "s", OTHER)], "item_id long, suite string, text string")
+    df = spark.createDataFrame([(0, "pears " + " ".join(other[4:17]) + " plums", "")], DOC)
+    for size in (10, 200_000):
+        assert [r[1] for r in rows(leaks.leaked_pairs(df, suite, shard_words=size))] == [2]
+
+
+@pytest.mark.parametrize("n", [3, 11, 30])
+def test_any_number_of_items_shares_a_passage(n):
+    held = [(i, f"{ASK}\n\n{PASSAGE}\n\nQuestion: what is number {i} of them all?") for i in range(n)]
+    held += [(100 + i, f"{ASK}\n\n" + " ".join(f"p{i}x{k}" for k in range(40))) for i in range(5)]
+    index = leaks.build_index(held, leaks.Rules())
+    got = leaks.leaks_in(index, index.codes(words(f"pears {PASSAGE} plums {ASK}")), leaks.Rules())
+    assert [index.items[x.passage] for x in got] == [list(range(n))]
+
+
+def test_every_paragraph_is_a_passage():
+    second = " ".join(f"second{k}" for k in range(14))
+    for shared in (1, 12):  # also when many items share both paragraphs
+        held = [(i, f"{ASK}\n\n{PASSAGE}\n \n{second}\n\nIs statement number {i} of the ones given below right or wrong, after all that was said?") for i in range(shared)]
+        held += [(100 + i, f"{ASK}\n\n" + " ".join(f"p{i}x{k}" for k in range(40))) for i in range(5)]
+        index = leaks.build_index(held, leaks.Rules())
+        for text, n in ((second, 1), (PASSAGE, 1), (ASK, 0), (f"{PASSAGE} and {second}", 2), ("Is statement number 0 of the ones given below right or wrong, after all that was said?", 0)):
+            got = leaks.leaks_in(index, index.codes(words(text)), leaks.Rules())
+            assert len(got) == n and all(index.items[x.passage] == list(range(shared)) for x in got)
+
+
+def test_candidates_lose_nothing():
+    """The batch path against the walk of each text alone."""
+    rng = random.Random(8)
+    index = leaks.build_index([(1, PASSAGE), (2, OTHER)], leaks.Rules())
+    texts = ["", "x"] + [" ".join(rng.choice((PASSAGE, OTHER)).split()[a : a + rng.randint(1, 20)] + ["é", "<b>"] + rng.choice((PASSAGE, OTHER)).split()[: rng.randint(0, 14)]) for a in [rng.randint(0, 15) for _ in range(200)]]
+    got = leaks.leaks_of(index, [lambda s=s: s for s in index.shards], pa.array(texts), leaks.Rules())
+    want = {k: held for k, t in enumerate(texts) if (held := leaks.leaks_in(index, index.codes(words(t)), leaks.Rules()))}
+    assert {k: [x for x, _, _ in v] for k, v in got.items()} == want and len(want) > 50
 
 
 def test_removal(spark):
@@ -101,8 +156,8 @@ def test_removal_of_every_copy(spark):
 
 
 def test_many_copies():
-    (index,) = leaks.build_indexes([(1, f"{ASK}\n\n{PASSAGE}"), (2, f"{ASK}\n\n{OTHER}")], leaks.Rules())
-    got = leaks.leaks_in(index, leaks._look_up(index, words((PASSAGE + " ") * 200)), leaks.Rules())
+    index = leaks.build_index([(1, f"{ASK}\n\n{PASSAGE}"), (2, f"{ASK}\n\n{OTHER}")], leaks.Rules())
+    got = leaks.leaks_in(index, index.codes(words((PASSAGE + " ") * 200)), leaks.Rules())
     n = len(words(PASSAGE))
     assert sorted((x.first, x.last) for x in got) == [(k * n, k * n + n - 1) for k in range(200)]
 
