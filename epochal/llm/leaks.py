@@ -219,36 +219,41 @@ def align(passage: list[int], rarity: list[float], ids: list[int], reach: int |
     w = np.array([rarity[x] for x in passage])
     gain, loss = 0.2 + w, 0.45 + 0.55 * w
     skip = np.concatenate(([0.0], np.cumsum(loss)))  # cost of leaving out words of the passage
-    n = len(passage)
-    score = np.zeros(n + 1)
-    hits, weight, start, begun = (np.zeros(n + 1, int), np.zeros(n + 1), np.arange(n + 1), np.zeros(n + 1, int))
-    best = (0.0, 0, 0, 0, 0, 0.0)
-    total = np.concatenate(([0.0], np.cumsum(w)))
-    at = np.arange(n + 1)
+    score = np.zeros(len(passage) + 1)
+    own: dict[int, np.ndarray] = {}  # score of each word of the text against every word of the passage
+    scores, opened = [score], []  # of every word: the scores, and those before words of the passage are left out
+    top, end, at = 0.0, 0, 0
     for i, x in enumerate(ids):
-        if reach is not None and best[0] and i > best[2] + reach:
+        if reach is not None and top and i > at + reach:
             break
-        same = p == x
-        diag = np.concatenate(([0.0], score[:-1] + np.where(same, gain, -loss)))
-        up = score - 0.5  # a word put in
-        take = diag >= up
-        src = np.where(take, np.maximum(at - 1, 0), at)
-        new = np.where(take, diag, up)
-        hit = hits[src] + np.where(take, np.concatenate(([0], same)), 0)
-        wgt = weight[src] + np.where(take, np.concatenate(([0.0], np.where(same, w, 0.0))), 0.0)
-        frm, beg = start[src], begun[src]
-        lift = np.maximum.accumulate(new + skip)
-        left = np.maximum.accumulate(np.where(new + skip >= lift, at, 0))
-        new, hit, wgt, frm, beg = lift - skip, hit[left], wgt[left], frm[left], beg[left]
-        dead = new <= 0
-        score = np.where(dead, 0.0, new)
-        hits, weight = np.where(dead, 0, hit), np.where(dead, 0.0, wgt)
-        start, begun = np.where(dead, at, frm), np.where(dead, i + 1, beg)
+        if x not in own:
+            own[x] = np.where(p == x, gain, -loss)
+        pre = score - 0.5  # a word put in
+        np.maximum(pre[1:], score[:-1] + own[x], out=pre[1:])
+        pre[0] = max(pre[0], 0.0)
+        pre += skip
+        score = np.maximum.accumulate(pre) - skip
+        np.maximum(score, 0.0, out=score)
+        scores.append(score)
+        opened.append(pre)
         j = int(score.argmax())
-        if score[j] > best[0]:
-            spanned = int(j - start[j])
-            best = (float(score[j]), int(begun[j]), i, spanned, int(hits[j]), float(weight[j] / max(1e-9, total[j] - total[start[j]])))
-    return best
+        if score[j] > top:
+            top, end, at = float(score[j]), j, i
+    if not top:
+        return 0.0, 0, 0, 0, 0, 0.0
+    i, j, hits, weight = at, end, 0, 0.0
+    while True:  # back along the best path, to where it began
+        pre = opened[i][: j + 1]
+        j = len(pre) - 1 - int(pre[::-1].argmax())  # the words after it are left out
+        before = scores[i]
+        if j and before[j - 1] + own[ids[i]][j - 1] >= before[j] - 0.5:
+            j -= 1
+            if passage[j] == ids[i]:
+                hits, weight = hits + 1, weight + float(w[j])
+        if not before[j]:
+            break
+        i -= 1
+    return top, i, at, end - j, hits, weight / max(1e-9, float(w[j:end].sum()))
 
 
 def piece(passage: list[int], ids: list[int], run: int, altered: int) -> tuple[int, int, int, int] | None:

@@ -16,6 +16,7 @@ WORD = re.compile(r"[^\W_]+")
 BREAK = re.compile(r"(?<=\w)[-‐‑][ \t]*\r?\n[ \t>]*(?=\w)")
 LONGEST_ENTITY = 40  # no name or number of a character is longer; what is, stands for none
 HARD = r"[^\x00-\x7f]|[<&]|-[ \t]*\r?\n"  # texts that need more than a table of bytes
+_HARD = re.compile(HARD)
 _PLAIN = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -88,6 +89,9 @@ def numbers(flat: pa.Array, vocabulary: pa.Array) -> np.ndarray:
 
 def placed_words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     """The same words, each with its place (start, end) in the text as given."""
+    if not _HARD.search(text):
+        found = [(m[0], m.span()) for m in WORD.finditer(text.lower())]
+        return [w for w, _ in found], [place for _, place in found]
     out: list[str] = []
     place: list[int] = []
     at = 0
