@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from heapq import heappop, heappush
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -36,11 +36,19 @@ def _encoder(path: str):
     return _ENCODERS[path]
 
 
-def token_count(text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
-    """Tokens of the whole text; null has none, strings of special tokens are ordinary text."""
+def token_count(spark: SparkSession, text: Column, path: str = DEFAULT_VOCABULARY) -> Column:
+    """Tokens of the whole text; null has none, strings of special tokens are ordinary text.
+
+    path: the rank file, where the driver sees it; it is shipped to the executors.
+    """
+    spark.sparkContext.addFile(path)
+    name = path.rsplit("/", 1)[-1]
+
     @F.pandas_udf(LongType())
     def count(texts: pd.Series) -> pd.Series:
-        encoder = _encoder(path)
+        from pyspark import SparkFiles
+
+        encoder = _encoder(SparkFiles.get(name))
         return pd.Series([0 if t is None else len(encoder.encode_ordinary(t)) for t in texts], dtype="int64")
 
     return count(text)
@@ -68,23 +76,33 @@ def min_cost_flow(supply: dict[int, int], quota: list[int], repeats: list[int])
     sink, head = len(masks) + len(quota) + 1, len(masks) + 1
     to, room, cost, out = [], [], [], [[] for _ in range(sink + 1)]
 
-    def arc(a: int, b: int, c: int, w: int) -> None:
-        for x, y, cap, price in ((a, b, c, w), (b, a, 0, -w)):
+    def arc(a: int, b: int, c: int) -> None:
+        for x, y, cap in ((a, b, c), (b, a, 0)):
             out[x].append(len(to))
             to.append(y)
             room.append(cap)
-            cost.append(price)
+            cost.append(0)
 
+    used, most = [0] * len(masks), []  # arc 2 k is that of pattern k: its flow, and the most there may be
+
+    def reprice(k: int) -> None:
+        """The next token of a pattern costs as many uses as all its tokens have had, the last one what it has cost."""
+        size, flow = supply[masks[k]], used[k]
+        uses, last = flow // size, max(0, flow - 1) // size
+        room[2 * k], cost[2 * k] = min(most[k], size * (uses + 1)) - flow, uses
+        room[2 * k + 1], cost[2 * k + 1] = flow - size * last if flow else 0, -last
+
+    for k, mask in enumerate(masks):
+        most.append(supply[mask] * sum(r for s, r in enumerate(repeats) if mask >> s & 1))
+        arc(0, k + 1, 0)
+        reprice(k)
     arcs = {}
     for k, mask in enumerate(masks, 1):
-        own = [s for s in range(len(quota)) if mask >> s & 1]
-        for r in range(sum(repeats[s] for s in own)):
-            arc(0, k, supply[mask], r)
-        for s in own:
+        for s in (s for s in range(len(quota)) if mask >> s & 1):
             arcs[mask, s] = len(to)
-            arc(k, head + s, supply[mask] * repeats[s], 0)
+            arc(k, head + s, supply[mask] * repeats[s])
     for s, q in enumerate(quota):
-        arc(head + s, sink, q, 0)
+        arc(head + s, sink, q)
     rank = [0] * (sink + 1)
     while True:
         dist: list[float] = [float("inf")] * (sink + 1)
@@ -102,15 +120,18 @@ def min_cost_flow(supply: dict[int, int], quota: list[int], repeats: list[int])
         if via[sink] < 0:
             break
         rank = [r + (d if d < float("inf") else 0) for r, d in zip(rank, dist)]
-        push, v = None, sink
-        while v:
-            push = room[via[v]] if push is None else min(push, room[via[v]])
-            v = to[via[v] ^ 1]
-        v = sink
+        path, v = [], sink
         while v:
-            room[via[v]] -= push
-            room[via[v] ^ 1] += push
+            path.append(via[v])
             v = to[via[v] ^ 1]
+        push = min(room[e] for e in path)
+        for e in path:
+            if e < 2 * len(masks):
+                used[e >> 1] += -push if e & 1 else push
+                reprice(e >> 1)
+            else:
+                room[e] -= push
+                room[e ^ 1] += push
     return {key: room[e ^ 1] for key, e in arcs.items() if room[e ^ 1]}
 
 
@@ -122,7 +143,7 @@ def distinct_texts(documents: DataFrame, names: list[str], vocabulary: str) -> D
     """
     bit = F.coalesce(*[F.when(F.col("source") == n, F.lit(1 << k)) for k, n in enumerate(names)])
     known = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text").where(F.col("source").isin(names) & (F.length("text") > 0))
-    held = known.select("doc_id", bit.cast("long").alias("bit"), F.sha2("text", 256).alias("key"), token_count(F.col("text"), vocabulary).alias("size"))
+    held = known.select("doc_id", bit.cast("long").alias("bit"), F.sha2("text", 256).alias("key"), token_count(documents.sparkSession, F.col("text"), vocabulary).alias("size"))
     copies = [F.min(F.when(F.col("bit") == 1 << k, F.col("doc_id"))).alias(f"doc_{k}") for k in range(len(names))]
     return held.groupBy("key").agg(F.bit_or("bit").alias("mask"), F.max("size").alias("size"), *copies).where("size > 0")
 

