@@ -12,15 +12,13 @@ from epochal.plans.engine import Engine
 def append_stream(engine: Engine, lens: str, stream: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Appends a stream (lo, hi, value) to a lens, one layer per micro-batch; late rows are never dropped.
 
-    A micro-batch that is delivered again after a failure is recognised by its number and left out.
+    A micro-batch that is delivered again is recognised by its number, which the engine keeps with the
+    layer under the name of the checkpoint folder; with an engine that has a path also after a restart.
     """
-    done: set[int] = set()
 
     def put(batch: DataFrame, number: int) -> None:
-        if number in done or batch.isEmpty():
-            return
-        engine.append_frame(lens, batch.select("lo", "hi", "value"))
-        done.add(number)
+        if not batch.isEmpty():
+            engine.append_batch(lens, batch.select("lo", "hi", "value"), checkpoint, number)
 
     writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
