@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -32,26 +31,6 @@ def check_type(value: Value, kind: str) -> None:
         raise EngineError(f"type mismatch: expected {kind}, got {kind_of(value)}")
 
 
-def parse_cell(text: str, kind: str) -> Value:
-    """A CSV cell as a value of the lens' type; raises ValueError."""
-    text = text.strip()
-    if text == "null":
-        return None
-    if kind == "int":
-        if not re.fullmatch(r"-?\d+", text) or not LOW <= int(text) <= HIGH:
-            raise ValueError(f"invalid int {text!r}")
-        return int(text)
-    if kind == "float":
-        if not re.fullmatch(r"-?\d+(\.\d+)?", text):
-            raise ValueError(f"invalid float {text!r}")
-        return float(text)
-    if kind == "bool":
-        if text not in ("true", "false"):
-            raise ValueError(f"invalid bool {text!r}")
-        return text == "true"
-    return text[1:-1] if len(text) > 1 and text[0] == text[-1] == '"' else text
-
-
 def _number(x: float) -> str:
     return str(int(x)) if x == x and abs(x) != float("inf") and x == int(x) and abs(x) < 1e16 else repr(x)
 

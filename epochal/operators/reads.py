@@ -41,15 +41,15 @@ def cutoff(now_secs: int, ttl: int | None) -> int | None:
 def at(facts: DataFrame, keys: list[str], t: int, coordinates: list[int] | None = None, written: int | None = None, layer: int | None = None, keep_from: int | None = None) -> DataFrame:
     """keys, value at valid time t (and on further axes at ``coordinates``): the newest layer's.
 
-    keep_from: retention cut-off; an earlier t holds nothing.
+    keep_from: retention cut-off; an earlier t holds nothing. Of facts of one layer the greater value holds.
     """
     hit = of_layer(as_of(facts, written), layer).where((F.col("lo") <= t) & (F.col("hi") > t))
     if coordinates is not None:
         hit = fix_axes(hit, coordinates)
     if keep_from is not None and t < keep_from:
         hit = hit.where(F.lit(False))
-    found = hit.groupBy(*keys).agg(F.max_by("value", "layer_id").alias("value"), F.count(F.lit(1)).alias("_n"))
-    return found.where("_n > 0").drop("_n")
+    found = hit.groupBy(*keys).agg(F.max(F.struct("layer_id", "value")).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    return found.where("_n > 0").select(*keys, F.col("_m.value").alias("value"))
 
 
 def at_points(facts: DataFrame, points: DataFrame, keys: list[str], written: str | None = None, piece: int | None = None) -> DataFrame:
@@ -82,14 +82,14 @@ def by_length(facts: DataFrame) -> tuple[DataFrame, list[int]]:
     return placed.withColumn("_b", F.explode(F.array_distinct(F.array(run(F.col("lo")), run(F.col("hi") - 1))))), levels
 
 
-def range_(facts: DataFrame, keys: list[str], start: int, end: int, coordinates: list[int] | None = None, written: int | None = None, keep_from: int | None = None, piece: int | None = None) -> DataFrame:
+def range_(facts: DataFrame, keys: list[str], start: int | None, end: int | None, coordinates: list[int] | None = None, written: int | None = None, keep_from: int | None = None, piece: int | None = None) -> DataFrame:
     """keys, start, end, value: maximal newest-wins segments of [start, end)."""
     held = as_of(facts, written)
     if coordinates is not None:
         held = fix_axes(held, coordinates)
     if keep_from is not None:
-        start = max(start, keep_from)
-    if start >= end:
+        start = keep_from if start is None else max(start, keep_from)
+    if start is not None and end is not None and start >= end:
         held = held.where(F.lit(False))
     return segments.newest_wins(held, keys, start, end, piece)
 

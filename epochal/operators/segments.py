@@ -60,10 +60,11 @@ def clip(facts: DataFrame, start: int | None, end: int | None) -> DataFrame:
     """Facts cut to [start, end); the filters on hi and lo reach the scan. Null and inverted intervals are void."""
     out = facts.where("lo < hi")
     if start is not None:
-        out = out.where(F.col("hi") > start).withColumn("lo", F.greatest("lo", F.lit(start)))
+        out = out.where(F.col("hi") > start)
     if end is not None:
-        out = out.where(F.col("lo") < end).withColumn("hi", F.least("hi", F.lit(end)))
-    return out
+        out = out.where(F.col("lo") < end)
+    cut = {} if start is None else {"lo": F.greatest("lo", F.lit(start))}
+    return out.withColumns(cut | ({} if end is None else {"hi": F.least("hi", F.lit(end))}))
 
 
 def _hash(keys: list[str]) -> Column:

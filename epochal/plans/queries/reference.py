@@ -67,15 +67,26 @@ def at_as_of(spark: SparkSession, d: str) -> DataFrame:
     return reads.at(events_as(spark, d, "ev24"), KEY, T, written=W)
 
 
-@query("WITH f AS (" + sql_events("ev24") + "), l AS (SELECT min(layer_id) AS l FROM f) SELECT k, value FROM f, l WHERE layer_id = l AND lo <= " + str(T0 + 30 * 24 * HOUR) + f" AND lo <= {T} AND hi > {T}")
+_BY_HUNDRED = f"SELECT k, layer_id // 100 AS layer_id, written_at, lo, hi, value FROM ({sql_events('ev24')})"
+
+
+def _by_hundred(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred events are one layer; each user's facts in it may overlap, and the greater value holds."""
+    return events_as(spark, d, "ev24").withColumn("layer_id", F.expr("layer_id div 100"))
+
+
+@query(f"WITH f AS ({_BY_HUNDRED}), l AS (SELECT min(layer_id) AS l FROM f WHERE lo <= {T} AND hi > {T}) SELECT k, max(value) AS value FROM f, l WHERE layer_id = l AND lo <= {T} AND hi > {T} GROUP BY k")
 def at_layer(spark: SparkSession, d: str) -> DataFrame:
-    facts = events_as(spark, d, "ev24")
-    return reads.at(facts, KEY, T, layer=facts.agg(F.min("layer_id")).head()[0])
+    """What the oldest layer that holds anything at T holds there, though newer ones hide it."""
+    facts = _by_hundred(spark, d)
+    oldest = facts.where((F.col("lo") <= T) & (F.col("hi") > T)).agg(F.min("layer_id")).head()[0]
+    return reads.at(facts, KEY, T, layer=oldest)
 
 
-@query(f"SELECT k, value FROM ({sql_events('ev24')}) WHERE layer_id = 17 AND lo <= {T0 + 720 * HOUR} AND hi > lo")
+@query(f"SELECT k, layer_id, start, \"end\" FROM (SELECT k, layer_id, lo AS start, hi AS \"end\" FROM ({_BY_HUNDRED}) WHERE layer_id = 17)")
 def layer_contents(spark: SparkSession, d: str) -> DataFrame:
-    return reads.of_layer(events_as(spark, d, "ev24"), 17).select("k", "value")
+    """All facts of one layer, as they were appended."""
+    return reads.of_layer(_by_hundred(spark, d), 17).select("k", "layer_id", F.col("lo").alias("start"), F.col("hi").alias("end"))
 
 
 def _box(*at: int) -> str:
@@ -153,9 +164,12 @@ def range_ttl(spark: SparkSession, d: str) -> DataFrame:
     return reads.range_(events_as(spark, d, "ev24"), KEY, S, E, keep_from=CUT)
 
 
-@query(_one(sql_events("ev24"), f"lo <= {T} AND hi > {T} AND {T} >= {T + 1}"))
+@query(f"WITH f AS ({sql_events('ev24')}), p AS (SELECT unnest([{T - 1}, {T}]) AS t) SELECT k, t, arg_max_null(value, layer_id) AS value FROM f, p WHERE t >= {T} AND lo <= t AND hi > t GROUP BY ALL")
 def at_ttl(spark: SparkSession, d: str) -> DataFrame:
-    return reads.at(events_as(spark, d, "ev24"), KEY, T, keep_from=T + 1)
+    """Two times, of which the first is past its time to live."""
+    facts = events_as(spark, d, "ev24")
+    both = [reads.at(facts, KEY, t, keep_from=T).withColumn("t", F.lit(t).cast("long")) for t in (T - 1, T)]
+    return both[0].unionByName(both[1])
 
 
 def _where(scope: Scope, test) -> DataFrame:
@@ -259,6 +273,56 @@ def reduce_occluded_boundary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(reads.reduce_(both, KEY, S, E, ("count", "sum")))
 
 
+_NEAR = 9_223_372_036_854_775_000  # near the greatest long: two of them wrap
+
+
+@query(f"WITH {sql_pieces(f'SELECT k, layer_id, written_at, lo, hi, {_NEAR} + value AS value FROM ({sql_events(chr(101) + chr(118) + chr(105))})')}, t AS (SELECT k, sum(CAST(value AS HUGEINT)) % 18446744073709551616 AS s FROM el GROUP BY k) SELECT k, CAST(CASE WHEN s >= 9223372036854775808 THEN s - 18446744073709551616 ELSE s END AS BIGINT) AS \"sum\" FROM t")
+def reduce_near_the_edge(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of stored integers that wrap."""
+    facts = events_as(spark, d, "evi").withColumn("value", F.lit(_NEAR).cast("long") + F.col("value"))
+    return reads.reduce_(facts, KEY, S, E, ("sum",))
+
+
+_OPEN = f"SELECT k, layer_id, written_at, lo, CASE WHEN layer_id % 10 = 0 THEN 9223372036854775807 ELSE hi END AS hi, value FROM ({sql_events('ev6')})"
+
+
+def _open(spark: SparkSession, d: str, key: str = "user_id") -> DataFrame:
+    """Every tenth fact holds from its begin on, without an end."""
+    facts = events_as(spark, d, "ev6", key)
+    return facts.withColumn("hi", F.when(F.col("layer_id") % 10 == 0, F.lit((1 << 63) - 1)).otherwise(F.col("hi")))
+
+
+@query(sql_range(_OPEN, None, None))
+def range_open_ended(spark: SparkSession, d: str) -> DataFrame:
+    return reads.range_(_open(spark, d), KEY, None, None)
+
+
+@query(_reduced(_OPEN))
+def reduce_open_ended(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(reads.reduce_(_open(spark, d), KEY, S, E))
+
+
+PIECE = 300  # rows of a piece, so that the series of these queries are cut at every scale
+_OPEN_TYPES = _OPEN.replace("user_id AS k", "event_type AS k")
+
+
+@query(sql_range(_OPEN_TYPES))
+def range_cut_series(spark: SparkSession, d: str) -> DataFrame:
+    """Long series with facts that never end, cut into pieces."""
+    return reads.range_(_open(spark, d, "event_type"), KEY, S, E, piece=PIECE)
+
+
+@query(_reduced(_OPEN_TYPES))
+def reduce_cut_series(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(reads.reduce_(_open(spark, d, "event_type"), KEY, S, E, piece=PIECE))
+
+
+@query(f"WITH f AS ({_OPEN_TYPES}), p AS (SELECT DISTINCT 'click' AS k, {T0} + (o_orderkey % 720) * {HOUR} AS t FROM orders) SELECT p.k, p.t, arg_max_null(value, layer_id) AS value FROM p JOIN f ON p.k = f.k AND lo <= t AND t < hi GROUP BY ALL")
+def at_points_cut_series(spark: SparkSession, d: str) -> DataFrame:
+    points = spark.read.parquet(f"{d}/orders.parquet").select(F.lit("click").alias("k"), (T0 + (F.col("o_orderkey") % 720) * HOUR).alias("t"))
+    return reads.at_points(_open(spark, d, "event_type"), points, KEY, piece=PIECE)
+
+
 # History
 
 _LAYERS = "SELECT k, layer_id // 10 AS layer_id, layer_id // 1000 AS written_at, lo, hi, value FROM ({0})"
@@ -445,6 +509,18 @@ def reduce_rolling(spark: SparkSession, d: str) -> DataFrame:
     return rounded(derived.reduce_expr(_scope(spark, d, a="ev6"), Rolling("max", "a", BACK, 0), S, E))
 
 
+@query(_unmerged(_rolled("avg", BACK, 0, facts=sql_events("ev6", "event_type"))))
+def rolling_cut_series(spark: SparkSession, d: str) -> DataFrame:
+    scope = Scope({"a": Base(events_as(spark, d, "ev6", "event_type"))}, KEY, PIECE)
+    return derived.evaluate(scope, Rolling("avg", "a", BACK, 0), S, E).withColumn("value", F.round("value", 4))
+
+
+@query(_ranged({"a": "evi", "b": "ev6"}, "CAST(a AS DOUBLE) + b").replace("user_id AS k", "event_type AS k"))
+def derive_cut_series(spark: SparkSession, d: str) -> DataFrame:
+    scope = Scope({n: Base(events_as(spark, d, f, "event_type")) for n, f in (("a", "evi"), ("b", "ev6"))}, KEY, PIECE)
+    return derived.range_expr(scope, Binary("+", Ident("a"), Ident("b")), S, E)
+
+
 # Maintenance
 
 _GENERATIONS = f"SELECT k, layer_id, layer_id // 500 AS written_at, lo, hi, value FROM ({sql_events('evb')})"
@@ -467,3 +543,15 @@ def compact_1d_preserves_as_of(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT arg_max_null(value, layer_id) AS value FROM ({SQL_GRID}) WHERE {_box(T, 7)} HAVING count(*) > 0")
 def compact_nd_preserves_at(spark: SparkSession, d: str) -> DataFrame:
     return reads.at(compaction.compact_boxes(grid(spark, d), []), [], T, [7])
+
+
+def _fixed(x: int) -> str:
+    return f"WITH {sql_pieces(f'SELECT * FROM ({SQL_GRID}) WHERE x0 <= {x} AND x1 > {x}')}, {sql_merge('el')} SELECT {x} AS x, start, \"end\", value FROM mg"
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_fixed(x)})" for x in (3, 7, 50, 101)))
+def compact_nd_preserves_range(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes along time and users, compacted and read at four users over all time."""
+    small = cut_lineage(compaction.compact_boxes(grid(spark, d), []))
+    found = [reads.range_(small, [], S, E, coordinates=[x]).withColumn("x", F.lit(x)) for x in (3, 7, 50, 101)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])

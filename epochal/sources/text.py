@@ -52,21 +52,34 @@ def _parsed(texts: DataFrame, kind: str) -> DataFrame:
     return parts.select("line", lo.alias("lo"), hi.alias("hi"), value.alias("value"), problem.alias("problem"), *more)
 
 
+def in_order(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows of one file with ``at``, their number in file order from 0, and how many there are.
+
+    Rows are counted per partition; only these counts, one per partition, come to the driver.
+    """
+    spark = rows.sparkSession
+    laid = rows.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    offsets, total = [], 0
+    for r in sorted(laid.groupBy("_part").count().collect(), key=lambda r: r["_part"]):
+        offsets.append((r["_part"], total))
+        total += r["count"]
+    before = spark.createDataFrame(offsets, "_part int, _before long")
+    return laid.join(F.broadcast(before), "_part").withColumn("at", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before"), total
+
+
 def first_problem(spark: SparkSession, path: str, facts: DataFrame, kind: str) -> EngineError | None:
     """The error of the first bad line, with its number from 1; None if all are good."""
-    bad = facts.where("problem is not null").limit(1).collect()
-    if not bad:
+    if facts.where("problem is not null").isEmpty():
         return None
-    # only on failure: numbers the lines of the file and takes the least of all bad ones
-    numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[0].value, x[1])).toDF("value string, at long")
-    at, problem = _parsed(numbered, kind).where("problem is not null").agg(F.min(F.struct("at", "problem")).alias("x")).head().x
+    lines, _ = in_order(spark.read.text(path))  # only on failure: the least of all bad lines
+    at, problem = _parsed(lines, kind).where("problem is not null").agg(F.min(F.struct("at", "problem")).alias("x")).head().x
     if problem == "type mismatch":
         return EngineError(f"type mismatch in line {at + 1}")
     return EngineError(f"storage error: line {at + 1}: {problem}")
 
 
 def chunked(facts: DataFrame, first_layer: int, chunk: int = 256) -> tuple[DataFrame, int]:
-    """facts with layer_id, one layer per ``chunk`` lines in file order, and the number of layers."""
-    numbered = facts.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] // chunk + first_layer)).toDF([*facts.columns, "layer_id"], True) if facts.head(1) else facts.withColumn("layer_id", F.lit(first_layer))
-    count = facts.count()
-    return numbered, -(-count // chunk)
+    """facts of one file with layer_id, one layer per ``chunk`` lines in file order, and the number of layers."""
+    lines, total = in_order(facts)
+    layer = F.call_function("div", F.col("at"), F.lit(chunk).cast("long")) + first_layer
+    return lines.withColumn("layer_id", layer).drop("at"), -(-total // chunk)

@@ -5,7 +5,9 @@ import numpy as np
 from tests.conftest import rows
 
 from tests import oracle
-from epochal.operators import appends, compaction, reads, sweep
+from epochal.functions.expressions import Binary, Ident, Lit, Rolling
+from epochal.operators import appends, compaction, derived, reads, sweep
+from epochal.operators.derived import Base, Lazy, Scope
 from epochal.operators.segments import elementary
 
 SCHEMA = "k int, layer_id long, written_at long, lo long, hi long, value long"
@@ -150,3 +152,65 @@ def test_empty_and_void(spark):
 def test_null_keys_form_a_series(spark):
     df = spark.createDataFrame([(None, 1, 0, 10, 1), (None, 2, 5, 15, 2), ("a", 1, 0, 4, 7)], "k string, layer_id long, lo long, hi long, value long")
     assert rows(reads.range_(df, ["k"], 0, 20, piece=1)) == [("a", 0, 4, 7), (None, 0, 5, 1), (None, 5, 15, 2)]
+
+
+def scans(df):
+    """What each scan of the plan is told to leave out."""
+    import re
+
+    return re.findall(r"PushedFilters: \[([^\]]*)\]", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_bounds_of_a_read_reach_every_scan(spark, stored):
+    a = stored([(k, *f) for k, fs in CASES.items() for f in fs], SCHEMA)
+    b = stored([(k, *f) for k, fs in CASES.items() for f in fs], SCHEMA, files=2)
+    scope = Scope({"a": Base(a), "b": Base(b), "y": Lazy(Binary("+", Ident("a"), Ident("b")))}, ["k"])
+    plain = Ident("y")
+    rolled = Binary("+", Ident("b"), Rolling("sum", "a", -20, 5))
+    over_lazy = Rolling("max", "y", -20, 5)
+    for df, lo, hi in (
+        (derived.range_expr(scope, plain, 50, 90), 90, 50),
+        (derived.range_expr(scope, Ident("a"), 50, 90, Binary(">", Ident("b"), Lit(0))), 90, 50),
+        (derived.reduce_expr(scope, plain, 50, 90, ("count",)), 90, 50),
+        (derived.at_expr(scope, plain, 77), 78, 77),
+        (derived.evaluate(scope, over_lazy, 50, 90), 95, 30),
+        (reads.range_(a, ["k"], 50, 90), 90, 50),
+        (reads.at(a, ["k"], 77), None, None),
+    ):
+        found = scans(df)
+        assert found and all("hi" in f and "lo" in f for f in found)
+        if lo is not None:
+            assert all(f"LessThan(lo,{lo})" in f and f"GreaterThan(hi,{hi})" in f for f in found), found
+    found = scans(derived.range_expr(scope, rolled, 50, 90))
+    assert len(found) == 2 and any("LessThan(lo,95)" in f and "GreaterThan(hi,30)" in f for f in found) and any("LessThan(lo,90)" in f and "GreaterThan(hi,50)" in f for f in found)
+
+
+def test_rolling_is_brute_force(spark):
+    """Pieces or none; a window over segments of every kind of series."""
+    held = [(k, *f[:4], None if f[4] is None else float(f[4])) for k, fs in CASES.items() for f in fs if f[4] is not None]
+    df = spark.createDataFrame(held, SCHEMA.replace("value long", "value double"))
+    for piece in (None, 9):
+        for function in ("count", "sum", "avg", "min", "max"):
+            got = derived.evaluate(Scope({"a": Base(df)}, ["k"], piece), Rolling(function, "a", -13, 4), 20, 120).collect()
+            for r in got:
+                parts = [(max(s, r.start - 13), min(e, r.start + 4), v) for s, e, v in oracle.segments([f for f in CASES[r.k] if f[4] is not None], 7, 124) if s < r.start + 4 and e > r.start - 13]
+                values = [v for *_, v in parts]
+                weight = sum(e - s for s, e, _ in parts)
+                want = {"count": len(values), "sum": sum(values), "min": min(values), "max": max(values), "avg": sum(v * (e - s) for s, e, v in parts) / weight}[function]
+                assert abs(r.value - want) < 1e-9
+            assert len(got) > 200
+
+
+def test_clashing_boxes(spark):
+    rng = random.Random(7)
+    held = []
+    for layer in range(6):
+        cells = [(x, y) for x in range(12) for y in range(12)]
+        held += [(layer, 10 * x, 10 * x + 10, [(10 * y, 10 * y + 10)], 1) for x, y in rng.sample(cells, 60)]  # side by side
+        if layer % 2:
+            _, lo, hi, axes, _ = rng.choice([h for h in held if h[0] == layer])
+            held.append((layer, lo + 3, hi + 3, [(axes[0][0] + 9, axes[0][0] + 12)], 1))
+    held += [(9, 0, 1, [(i, i + 1)], 1) for i in range(300)]  # all at one time
+    df = spark.createDataFrame(held, "layer_id long, lo long, hi long, axes array<struct<lo:long,hi:long>>, value int")
+    for piece in (None, 20):
+        assert {r.layer_id for r in appends.colliding_boxes(df, [], piece).collect()} == {1, 3, 5}
