@@ -11,45 +11,54 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epochal.operators.sweep import equal_neighbours
 from epochal.runtime import cut_lineage, shuffle_width
 
 
-def _chunks(batches, entity: list[str]):
-    """Per batch: the entity of each run of equal entities, and its starts and ends as arrays."""
-    import numpy as np
-    import pyarrow.compute as pc
+class _Islands:
+    """The islands of batches in order of entity and start; the last one stays open for the next batch.
+
+    The entities of a batch are handled at once: an end is ranked above all ends of the entities before it, so
+    that one running maximum gives how far the intervals of each entity reach.
+    """
+
+    def __init__(self, entity: list[str]):
+        self.entity = entity
+        self.last, self.state, self.entities = None, None, 0  # entity of the open island, the island, entities so far
+
+    def add(self, batch: pa.RecordBatch):
+        """The entity whose island was carried into the batch, and of each island up to the open one, which is last:
+        a row of its entity (-1: the one carried in), start, end, and whether the next is of the same entity.
+        """
+        import numpy as np
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
         n = batch.num_rows
         change = np.zeros(n, bool)
-        change[0] = True
-        for c in entity:
-            here, prior = batch.column(c).slice(1), batch.column(c).slice(0, n - 1)
-            differ = pc.or_kleene(pc.fill_null(pc.not_equal(here, prior), False), pc.xor(here.is_null(), prior.is_null()))
-            change[1:] |= differ.to_numpy(zero_copy_only=False)
-        lo, hi = batch.column("lo").to_numpy(), batch.column("hi").to_numpy()
-        edges = [*np.flatnonzero(change).tolist(), n]
-        names = [batch.column(c) for c in entity]
-        for a, b in zip(edges, edges[1:]):
-            yield tuple(x[a].as_py() for x in names), lo[a:b], hi[a:b]
-
-
-def _islands(lo, hi, state):
-    """Closed (start, end) pairs and the open one. state: the open pair before, or None; touching joins."""
-    import numpy as np
-
-    start, end = state if state else (int(lo[0]), int(lo[0]))
-    reach = np.maximum.accumulate(np.concatenate(([end], hi)))
-    new = np.flatnonzero(lo > reach[:-1])
-    starts = [start, *lo[new].tolist()]
-    ends = [*reach[new].tolist(), int(reach[-1])]
-    pairs = list(zip(starts, ends))
-    return pairs[:-1], pairs[-1]
+        for c in self.entity:
+            change[1:] |= ~equal_neighbours(batch.column(c))
+        first = tuple(batch.column(c)[0].as_py() for c in self.entity)
+        g = np.cumsum(change)
+        lo, hi, row = batch.column("lo").to_numpy(), batch.column("hi").to_numpy(), np.arange(n)
+        if self.last is not None:
+            joined = first == self.last
+            g = g + (not joined)
+            lo, hi = np.concatenate(([self.state[0]], lo)), np.concatenate(([self.state[1]], hi))
+            g, row = np.concatenate(([0], g)), np.concatenate(([-1], row))
+        self.entities += int(g[-1]) + (self.last is None)
+        ends = np.unique(hi)
+        reach = ends[np.maximum.accumulate(g * len(ends) + np.searchsorted(ends, hi)) % len(ends)]
+        head = np.concatenate(([True], (g[1:] != g[:-1]) | (lo[1:] > reach[:-1])))
+        heads = np.flatnonzero(head)
+        tails = np.concatenate((heads[1:], [len(lo)])) - 1
+        start, end, own = lo[heads], reach[tails], g[heads]
+        before = self.last
+        self.last = tuple(batch.column(c)[n - 1].as_py() for c in self.entity)
+        self.state = int(start[-1]), int(end[-1])
+        return before, row[heads], start, end, np.concatenate((own[1:] == own[:-1], [False]))
 
 
 def _name(entity) -> str:
@@ -87,13 +96,12 @@ def periods_and_gaps(df: DataFrame, entity: list[str], partitions: int | None =
     def summarise(batches):
         from pyspark import TaskContext
 
-        last, state, entities = None, None, 0
-        for e, lo, hi in _chunks(batches, entity):
-            if e != last:
-                entities, last, state = entities + 1, e, None
-            _, state = _islands(lo, hi, state)
-        if entities:
-            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "last_entity": _name(last), "open_lo": state[0], "open_hi": state[1], "single": entities == 1}])
+        islands = _Islands(entity)
+        for batch in batches:
+            if batch.num_rows:
+                islands.add(batch)
+        if islands.state:
+            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "last_entity": _name(islands.last), "open_lo": islands.state[0], "open_hi": islands.state[1], "single": islands.entities == 1}])
 
     summaries = laid.mapInArrow(summarise, "part long, last_entity string, open_lo long, open_hi long, single boolean")
     handed = _combine([r.asDict() for r in summaries.collect()])  # one row per partition
@@ -103,30 +111,32 @@ def periods_and_gaps(df: DataFrame, entity: list[str], partitions: int | None =
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_type
 
+        import numpy as np
+
         carried = handed.get(TaskContext.get().partitionId(), {"entity": None, "state": None})
         schema = pa.schema([pa.field(c, to_arrow_type(types[c])) for c in entity] + list(shape))
-        last, state, out = None, None, []
-
-        def flush():
-            data = [pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(data, schema=schema)
-
-        for e, lo, hi in _chunks(batches, entity):
-            if last is None or e != last:
-                if last is not None:
-                    out.append((*last, "period", *state))
-                state = tuple(carried["state"]) if last is None and _name(e) == carried["entity"] else None
-                last = e
-            closed, opened = _islands(lo, hi, state)
-            for a, b in zip(closed, [*closed[1:], opened]):
-                out += [(*e, "period", *a), (*e, "gap", a[1], b[0])]
-            state = opened
-            if len(out) > 8192:
-                yield flush()
-        if last is not None:
-            out.append((*last, "period", *state))  # possibly continued in the next partition
-            yield flush()
+        islands = _Islands(entity)
+
+        def rows(batch, before, row, kind, lo, hi):
+            names = []
+            for i, c in enumerate(entity):
+                held = batch.column(c).take(pa.array(np.maximum(row, 0)))
+                carried_in = pa.array(row < 0)
+                names.append(pc.if_else(carried_in, pa.scalar(before[i], held.type), held) if before is not None else held)
+            return pa.RecordBatch.from_arrays([*names, pa.repeat(pa.scalar(kind), len(row)), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if islands.last is None and carried["state"] and _name([batch.column(c)[0].as_py() for c in entity]) == carried["entity"]:
+                islands.last, islands.state = tuple(batch.column(c)[0].as_py() for c in entity), tuple(carried["state"])
+            before, row, start, end, joined = islands.add(batch)
+            yield rows(batch, before, row[:-1], "period", start[:-1], end[:-1])
+            at = np.flatnonzero(joined)
+            yield rows(batch, before, row[at], "gap", end[at], start[at + 1])
+        if islands.last is not None:  # possibly continued in the next partition
+            names = [pa.array([x], f.type) for x, f in zip(islands.last, schema)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(["period"]), pa.array([islands.state[0]]), pa.array([islands.state[1]])], schema=schema)
 
     fields = ", ".join(f"`{c}` {types[c].simpleString()}" for c in entity)
     found = laid.mapInArrow(rescan, f"{fields}, kind string, lo long, hi long")
