@@ -42,6 +42,11 @@ def p4_series(spark: SparkSession, d: str) -> DataFrame:
     return regrid.regular_series(table(spark, d, "facts_nd"), table(spark, d, "lens_catalog"))
 
 
+def p4_observed(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of the series that readings cover, with their values."""
+    return p4_series(spark, d).where("status = 'observed'").select("lens", "device", "t", "value")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_series(spark, d).where("status <> 'observed'").select("lens", "device", "t")
 
@@ -58,7 +63,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return intervals.periods_and_gaps(table(spark, d, "run_entries"), ["lens", "epoch"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_once, p2_found, p2_daily, p3_found, p3_trailing, p4_found, p4_series, p5_found, p5_state, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_once, p2_found, p2_daily, p3_found, p3_trailing, p4_found, p4_series, p4_observed, p5_found, p5_state, p6_found)}
 
 _KEPT = """kept AS (
   SELECT * FROM wal_entries
@@ -111,6 +116,11 @@ SQL = {
       FROM dayed GROUP BY db, lens, day""",
     "p3_found": f"{_TRAILING} SELECT lens, day FROM rolled WHERE day >= first_day + 29 AND total_30 > 0 AND total_7 > total_30 / 2",
     "p3_trailing": f"{_TRAILING} SELECT lens, day, active, total_7, total_30, values_7, values_30, round(total_7 / 7.0, 4) AS average_7, round(total_30 / 30.0, 4) AS average_30 FROM rolled",
+    "p4_observed": """WITH r AS (
+      SELECT lens, unnest(generate_series(axes[1].lo, axes[1].hi - 1)) AS device, layer_id, lo, hi, value FROM facts_nd WHERE lo < hi AND axes[1].lo < axes[1].hi
+    ), s AS (SELECT lens, min(step_secs) AS step FROM lens_catalog WHERE step_secs > 0 GROUP BY lens),
+    cells AS (SELECT lens, device, layer_id, value, unnest(generate_series(CAST(ceil(lo / step) AS BIGINT) * step, hi - 1, step)) AS t FROM r JOIN s USING (lens))
+    SELECT lens, device, t, value FROM cells QUALIFY row_number() OVER (PARTITION BY lens, device, t ORDER BY layer_id DESC NULLS LAST, value DESC NULLS LAST) = 1""",
     "p4_found": """WITH r AS (
       SELECT lens, unnest(generate_series(axes[1].lo, axes[1].hi - 1)) AS device, lo, hi FROM facts_nd WHERE lo < hi AND axes[1].lo < axes[1].hi
     ), s AS (SELECT lens, min(step_secs) AS step FROM lens_catalog WHERE step_secs > 0 GROUP BY lens),
