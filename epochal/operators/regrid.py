@@ -104,7 +104,6 @@ def regular_series(facts: DataFrame, catalog: DataFrame, rank: int = 3, iteratio
     are decided by the greater value. No rows give no rows.
     """
     stepped = readings(facts).join(broadcast_if_small(steps(catalog)), "lens")
-    stepped = cut_lineage(stepped)  # read by three branches
     known = observed(stepped).withColumn("covered", F.lit(True))
     cells = grid(stepped).join(known, [*SOURCE, "t"], "left")
     cells = cut_lineage(cells.withColumn("covered", F.coalesce("covered", F.lit(False))))

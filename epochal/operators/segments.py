@@ -21,7 +21,8 @@ from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, S
 from epochal.operators import sweep
 from epochal.operators.sweep import HIGH, LOW, Leaf, Sweep
 
-PIECE = 1 << 18  # rows of one series that one task sweeps at once
+PIECE = 1 << 16  # rows of one series that one task sweeps at once
+MOST_PIECES = 1 << 20  # of all series together; with more rows than that gives, pieces grow
 SAMPLE = 1 << 18  # bounds of cut series that are read to place the cuts (16 per piece if that is more)
 
 
@@ -103,6 +104,7 @@ def cuts(laid: DataFrame, piece: int) -> dict[int, object]:
         return {}
     spark = laid.sparkSession
     total = sum(r["count"] for r in counted)
+    piece = max(piece, total // MOST_PIECES)
     rows = max(SAMPLE, 16 * total // piece)
     hot = spark.createDataFrame([(r["_h"],) for r in counted], "_h long")
     bounds = laid.select("_h", "lo", "hi").join(F.broadcast(hot), "_h").select("_h", F.explode(F.array("lo", "hi")).alias("t")).where("t is not null")
@@ -182,7 +184,7 @@ def cells(parts: list[Part], keys: list[str], spec: dict, piece: int | None = No
     laid = _laid(parts, keys)
     names = inner_names(keys)
     found = cuts(laid, piece) if long else {}
-    edges = laid.sparkSession.sparkContext.broadcast(found) if found else None  # eight bytes per piece
+    edges = laid.sparkSession.sparkContext.broadcast(found) if found else None  # eight bytes for each of MOST_PIECES
     rows = _spread(laid, parts, names, edges)
     by = ["_h", "_b", *names]
     ordered = rows.repartition("_h", "_b").sortWithinPartitions(*by)
