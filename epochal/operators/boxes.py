@@ -18,7 +18,7 @@ LEAF = 32  # boxes that are compared with one another
 def parted(facts: DataFrame, keys: list[str], lo: str, hi: str, name: str, piece: int | None = None, long: bool = True):
     """facts with ``name``, the piece of [lo, hi) along one axis of their series, once per piece that they touch; and the cuts."""
     bare = facts.select(*keys, F.col(lo).alias("lo"), F.col(hi).alias("hi"))
-    found = segments.cuts(segments._laid([Part(bare, Leaf("depth"))], keys), piece or BOXES) if long else {}
+    found = segments.cuts(segments._laid([Part(bare, Leaf("depth"))], keys), piece or BOXES, piece or BOXES) if long else {}
     if not found:
         return facts.withColumn(name, F.lit(0)), None
     edges = facts.sparkSession.sparkContext.broadcast(found)

@@ -2,7 +2,7 @@
 
 A facts DataFrame has key columns (any number, also none), layer_id, lo, hi and value. The rows of a
 series meet in one task, which sweeps many series at once (operators.sweep). A series with more than
-PIECE rows is cut in time into pieces of about that many, at quantiles of its own bounds, so that it
+LONG rows is cut in time into pieces of about PIECE, at quantiles of its own bounds, so that it
 spreads over many tasks; facts that fill a piece reach it as one row, by a partial aggregate over a
 tree of pieces. The cuts never show in a result: what begins at one is marked ``split = false``.
 """
@@ -21,7 +21,8 @@ from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, S
 from epochal.operators import sweep
 from epochal.operators.sweep import HIGH, LOW, Leaf, Sweep
 
-PIECE = 1 << 16  # rows of one series that one task sweeps at once
+LONG = 1 << 18  # rows of one series that one task sweeps as they are; a longer one is cut
+PIECE = 1 << 16  # rows of its pieces
 MOST_PIECES = 1 << 20  # of all series together; with more rows than that gives, pieces grow
 SAMPLE = 1 << 18  # bounds of cut series that are read to place the cuts (16 per piece if that is more)
 
@@ -91,15 +92,15 @@ def _laid(parts: list[Part], keys: list[str]) -> DataFrame:
     return reduce(DataFrame.unionAll, out)
 
 
-def cuts(laid: DataFrame, piece: int) -> dict[int, object]:
-    """Per series (by hash) with more than ``piece`` rows: the times at which it is cut, as a sorted array.
+def cuts(laid: DataFrame, piece: int, longest: int) -> dict[int, object]:
+    """Per series (by hash) with more than ``longest`` rows, for pieces of ``piece`` rows: the times at which it is cut, as a sorted array.
 
     One row per such series comes to the driver, and a sample of their bounds, which decides where
     tasks begin and nothing else. Two series with one hash are cut alike, which harms neither.
     """
     import numpy as np
 
-    counted = laid.groupBy("_h").count().where(F.col("count") > piece).collect()  # at most rows / piece
+    counted = laid.groupBy("_h").count().where(F.col("count") > longest).collect()  # at most rows / longest
     if not counted:
         return {}
     spark = laid.sparkSession
@@ -180,10 +181,9 @@ def cells(parts: list[Part], keys: list[str], spec: dict, piece: int | None = No
     Rows of one series and piece lie together, in order. One shuffle of the rows of all parts.
     long = false: it is known that no series is longer than a piece.
     """
-    piece = piece or PIECE
     laid = _laid(parts, keys)
     names = inner_names(keys)
-    found = cuts(laid, piece) if long else {}
+    found = cuts(laid, piece or PIECE, piece or LONG) if long else {}
     edges = laid.sparkSession.sparkContext.broadcast(found) if found else None  # eight bytes for each of MOST_PIECES
     rows = _spread(laid, parts, names, edges)
     by = ["_h", "_b", *names]
@@ -219,7 +219,7 @@ def cells(parts: list[Part], keys: list[str], spec: dict, piece: int | None = No
 
 def any_long(facts: DataFrame, keys: list[str], piece: int | None = None) -> bool:
     """Whether some series has more rows than a piece."""
-    return not facts.groupBy(*keys).count().where(F.col("count") > (piece or PIECE)).isEmpty()
+    return not facts.groupBy(*keys).count().where(F.col("count") > (piece or LONG)).isEmpty()
 
 
 def _islands(rows: DataFrame, keys: list[str], joined: Column, aggregates: list[Column]) -> DataFrame:
