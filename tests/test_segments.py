@@ -61,6 +61,24 @@ def test_reduce_counts_every_boundary(spark):
         assert abs(r["avg"] - weight) < 1e-9
 
 
+def test_values_past_the_greatest_long_wrap(spark, tmp_path):
+    """One event of 900, which no long holds once it is added to; its user's sum is what exact integers give, modulo 2^64."""
+    from datetime import datetime, timedelta
+
+    from epochal.plans.queries import reference
+    from epochal.plans.queries.facts import HOUR, T0
+
+    events = [(1, 0, 900.5), (1, 5, 3.25), (1, 40, 807.0), (2, 1, 808.0), (3, 2, 12.0), (3, 9, 560.21)]  # user, hours, value
+    held = [(i, datetime(2024, 1, 1) + timedelta(hours=h), u, "click", v, None) for i, (u, h, v) in enumerate(events)]
+    spark.createDataFrame(held, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    want = []
+    for user in (1, 2, 3):
+        own = [(i, 0, T0 + h * HOUR, T0 + (h + 24) * HOUR, reference._NEAR + int(v)) for i, (u, h, v) in enumerate(events) if u == user]
+        total = sum(v for *_, v in oracle.segments(own, reference.S, reference.E))
+        want.append((user, (total + (1 << 63)) % (1 << 64) - (1 << 63)))
+    assert rows(reference.reduce_near_the_edge(spark, str(tmp_path)), "k", "sum") == want
+
+
 def test_elementary_marks_cuts(spark):
     held = [(1, 0, 100, 5)] + [(2, 10 * i, 10 * i + 10, i) for i in range(20)]
     one = spark.createDataFrame(held, "layer_id long, lo long, hi long, value long")
